@@ -76,7 +76,7 @@ def _series(n: Factor, a: list[str]) -> str:
         pick = "list_max" if op == "argmax" else "list_min"
         return full + f"list_position(list({t}) {fr}, {pick}(list({t}) {fr}))::DOUBLE END"
     if op == "decay":
-        return full + f"list_dot_product(list({x}) {fr}, {[float(k) for k in range(1, o[0] + 1)]}::DOUBLE[]) / {o[0] * (o[0] + 1) / 2.0} END"
+        return full + f"list_dot_product(list(coalesce({x}, 0.0)) {fr}, {[float(k) for k in range(1, o[0] + 1)]}::DOUBLE[]) / {o[0] * (o[0] + 1) / 2.0} END"
     if op == "product":
         return full + f"list_product(list({x}) {fr}) END"
     if op in ("corr", "cov"):
@@ -84,6 +84,8 @@ def _series(n: Factor, a: list[str]) -> str:
         q = f"(CASE WHEN {a[0]} IS NOT NULL THEN {a[1]} END)"
         if op == "cov":
             return f"CASE WHEN count({p}) {fr} = {o[0]} THEN covar_samp({p}, {q}) {fr} END"
+        if o[0] == 2:
+            return f"nullif(sign({p} - lag({p}) {seq}) * sign({q} - lag({q}) {seq}), 0)::DOUBLE"
         return (
             f"CASE WHEN count({p}) {fr} = {o[0]} AND min({p}) {fr} < max({p}) {fr} AND min({q}) {fr} < max({q}) {fr} "
             f"THEN covar_pop({p}, {q}) {fr} / (stddev_pop({p}) {fr} * stddev_pop({q}) {fr}) END"

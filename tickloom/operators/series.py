@@ -30,12 +30,17 @@ def rolling(name: str, x: Column, w: WindowSpec, n: int, least: int | None = Non
     f = trailing(w, n)
     if name in ("skew", "kurt"):
         m = float(n)
+        values, centre = rolling_list(x, w, n), F.avg(x).over(f)
+        second = F.aggregate(values, F.lit(0.0), lambda s, v: s + (v - centre) * (v - centre))
         if name == "skew":
-            stat = F.skewness(x).over(f) * F.lit((m * (m - 1)) ** 0.5 / (m - 2))
+            third = F.aggregate(values, F.lit(0.0), lambda s, v: s + (v - centre) * (v - centre) * (v - centre))
+            stat = ratio(third * F.lit(m**0.5), F.pow(second, F.lit(1.5))) * F.lit((m * (m - 1)) ** 0.5 / (m - 2))
         else:
-            stat = F.lit((m - 1) / ((m - 2) * (m - 3))) * ((m + 1) * F.kurtosis(x).over(f) + F.lit(6.0))
-        varied = F.min(x).over(f) < F.max(x).over(f)
-        return full(F.when(varied, stat), x, w, n, least)
+            fourth = F.aggregate(
+                values, F.lit(0.0), lambda s, v: s + (v - centre) * (v - centre) * (v - centre) * (v - centre)
+            )
+            stat = F.lit((m - 1) / ((m - 2) * (m - 3))) * ((m + 1) * (ratio(fourth * F.lit(m), second * second) - 3.0) + 6.0)
+        return F.when(F.min(x).over(f) < F.max(x).over(f), stat)
     fn = {"mean": F.avg, "sum": F.sum, "min": F.min, "max": F.max, "std": F.stddev_samp, "pstd": F.stddev_pop}[name]
     return full(fn(x).over(f), x, w, n, least)
 
@@ -95,8 +100,15 @@ def rolling_cov(x: Column, y: Column, w: WindowSpec, n: int) -> Column:
 
 
 def rolling_corr(x: Column, y: Column, w: WindowSpec, n: int) -> Column:
-    """Pearson over n rows; a constant side has no correlation."""
+    """Pearson over n rows; a constant side has no correlation.
+
+    Two points are correlated by the signs of their steps alone, which avoids dividing two
+    nearly cancelled spreads.
+    """
     a, b = _pair(x, y)
+    if n == 2:
+        step = F.signum(a - F.lag(a).over(w)) * F.signum(b - F.lag(b).over(w))
+        return F.nullif(step, F.lit(0.0))
     f = trailing(w, n)
     varied = (F.min(a).over(f) < F.max(a).over(f)) & (F.min(b).over(f) < F.max(b).over(f))
     spread = F.stddev_pop(a).over(f) * F.stddev_pop(b).over(f)

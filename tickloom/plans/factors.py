@@ -141,6 +141,17 @@ def _cross_split(df: DataFrame, layer: dict[str, Factor], sub, lay: Layout) -> D
     return df
 
 
+def pinned(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition by ``keys`` into the session's full partition count.
+
+    Long window frames cost far more than their bytes suggest; left alone, adaptive execution
+    would merge these small-looking partitions into one or two tasks. The window reuses this
+    exchange, so it adds no shuffle.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys)
+
+
 def ewm_columns(df: DataFrame, specs: dict[str, tuple[Column, float, int]], series: str, order: str) -> DataFrame:
     """Recursive exponential means, several at once, one Arrow batch per series.
 
@@ -182,10 +193,12 @@ def evaluate(
     order = [n for n in walk(roots) if n.kind != "row"]
     names = {n.key: f"_f{i}" for i, n in enumerate(order)}
 
+    built: dict[str, Column] = {}
+
     def sub(node: Factor) -> Column:
-        if node.key in names:
-            return F.col(names[node.key])
-        return _row(node, sub, have)
+        if node.key not in built:
+            built[node.key] = F.col(names[node.key]) if node.key in names else _row(node, sub, have)
+        return built[node.key]
 
     base = [lay.series, lay.date, *[c for c in (keep or []) if c not in (lay.series, lay.date)]]
     wanted = set(inputs(roots)) | {n.opts[0] for n in walk(roots) if n.op == "optional" and n.opts[0] in have}
@@ -205,6 +218,8 @@ def evaluate(
 
             df = S.over_chunks(df, [lay.series], [lay.date], reach, run, lay.chunk_rows)
             continue
+        if not (kind == "cross" and lay.split_dates):
+            df = pinned(df, lay.date if kind == "cross" else lay.series)
         for layer in layers:
             if kind == "series":
                 df = df.withColumns({names[n.key]: _series(n, [sub(x) for x in n.args], w) for n in layer})
