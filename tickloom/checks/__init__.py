@@ -1,6 +1,6 @@
 """Every registered query with the SQL it is compared with, grouped as in the survey."""
 
-from tickloom.checks import expressions, libraries, pit  # noqa: F401
+from tickloom.checks import expressions, labels_eval, libraries, pit  # noqa: F401
 from tickloom.checks.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

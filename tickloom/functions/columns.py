@@ -81,8 +81,8 @@ def tidy(x: Column) -> Column:
 
 # -- normal distribution ------------------------------------------------------------------
 
-# Coefficients of the rational approximations (Abramowitz & Stegun / Cody-type
-# error function series; Acklam's inverse normal).
+# Coefficients of the rational approximations (Acklam's inverse normal; Hart's
+# normal distribution function).
 _ICDF_A = (-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00)
 _ICDF_B = (-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01)
 _ICDF_C = (-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00)
@@ -96,27 +96,35 @@ def _poly(coef: tuple, x: Column) -> Column:
     return out
 
 
+_CDF_TOP = (3.52624965998911e-02, 0.700383064443688, 6.37396220353165, 33.912866078383, 112.079291497871, 221.213596169931, 220.206867912376)
+_CDF_LOW = (8.83883476483184e-02, 1.75566716318264, 16.064177579207, 86.7807322029461, 296.564248779674, 637.333633378831, 793.826512519948, 440.413735824752)
+
+
+def bind(x: Column, body) -> Column:
+    """Evaluate ``x`` once and hand it to ``body``: keeps long formulas from copying their input."""
+    return F.get(F.transform(F.array(x), body), F.lit(0))
+
+
 def normal_cdf(x: Column) -> Column:
-    """Standard normal distribution function, absolute error below 1e-12 by a series/continued fraction."""
-    z = F.abs(x)
-    # |x| < 3: power series of the integral; beyond: continued fraction of Mills' ratio.
-    term = z
-    total = z
-    for k in range(1, 40):
-        term = term * z * z / F.lit(float(2 * k + 1))
-        total = total + term
-    density = F.exp(-z * z / 2) / F.lit(math.sqrt(2 * math.pi))
-    inner = F.lit(0.5) + density * total
-    frac = z
-    for k in range(40, 0, -1):
-        frac = z + F.lit(float(k)) / frac
-    tail = density / frac
-    upper = F.when(z < 3, inner).otherwise(F.lit(1.0) - tail)
-    return F.when(x >= 0, upper).otherwise(F.lit(1.0) - upper)
+    """Standard normal distribution function to double precision (Hart's rational form)."""
+
+    def body(v: Column) -> Column:
+        z = F.abs(v)
+        e = F.exp(-z * z / 2)
+        near = e * _poly(_CDF_TOP, z) / _poly(_CDF_LOW, z)
+        far = e / (z + 1 / (z + 2 / (z + 3 / (z + 4 / (z + 0.65))))) / F.lit(math.sqrt(2 * math.pi))
+        tail = F.when(z > 37, 0.0).when(z < 7.07106781186547, near).otherwise(far)
+        return F.when(v > 0, 1 - tail).otherwise(tail)
+
+    return F.when(x.isNotNull(), bind(x, body))
 
 
 def normal_icdf(p: Column) -> Column:
     """Inverse of the standard normal distribution function (relative error about 1e-9); NULL outside (0, 1)."""
+    return bind(p, _icdf)
+
+
+def _icdf(p: Column) -> Column:
     q = p - F.lit(0.5)
     r = q * q
     centre = _poly(_ICDF_A, r) * q / (_poly(_ICDF_B, r) * r + F.lit(1.0))
