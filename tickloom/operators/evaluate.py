@@ -41,13 +41,15 @@ def newey_west(series: DataFrame, by: list[str], order: str, value: str, horizon
     One series has one value per session, so its array is bounded by the calendar.
     """
     rows = series.where(F.col(value).isNotNull())
-    packed = rows.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).cast("double").alias("v")))).alias("_s"))
-    n = F.size("_s")
+    packed = rows.groupBy(*by).agg(  # mean and count come from the aggregate, so no lambda recomputes them
+        F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).cast("double").alias("v")))).alias("_s"),
+        F.avg(value).alias("mean"), F.count(F.lit(1)).cast("int").alias("n"),
+    )
+    n = F.col("n")
     auto = F.greatest(F.lit(1), F.floor(4.0 * F.pow(n / 100.0, F.lit(2.0 / 9.0))).cast("int"))
     lag = F.greatest(auto, F.lit((horizon or 1) - 1))
     lag = F.greatest(F.lit(1), F.least(lag, n - 1))
-    mean = F.aggregate("_s", F.lit(0.0), lambda a, s: a + s["v"]) / n
-    work = packed.withColumns({"n": n, "_lag": lag, "mean": mean}).where("n >= 2")
+    work = packed.where("n >= 2").withColumn("_lag", lag)
     work = work.withColumn("_c", F.transform("_s", lambda s: s["v"] - F.col("mean")))
 
     def gamma(k: Column) -> Column:

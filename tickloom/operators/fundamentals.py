@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickloom.functions.columns import normal_cdf, ratio
+from tickloom.operators.cross import group_zscore, pct_rank, winsorise_quantile
+
 
 def merge_statements(left: DataFrame, right: DataFrame, keys: list[str], coalesce: list[str], presence: str | None = None) -> DataFrame:
     """Full outer merge on the statement keys; clashing columns take the left value first."""
@@ -15,3 +18,106 @@ def merge_statements(left: DataFrame, right: DataFrame, keys: list[str], coalesc
         side = F.when(F.col("_r").isNull(), "left_only").when(F.col("_l").isNull(), "right_only").otherwise("both")
         out = out.withColumn(presence, side)
     return out.drop("_l", "_r", *[f"_a_{c}" for c in coalesce], *[f"_b_{c}" for c in coalesce])
+
+
+def report_growth(df: DataFrame, values: list[str], key: str = "symbol", order: str = "report_period") -> DataFrame:
+    """Trailing four-report sum, change, and growth one and four reports back."""
+    w = Window.partitionBy(key).orderBy(order)
+    f = w.rowsBetween(-3, 0)
+    cols = {}
+    for v in values:
+        x = F.col(v)
+        cols[f"{v}_ttm"] = F.when(F.count(x).over(f) == 4, F.sum(x).over(f))
+        cols[f"{v}_change"] = x - F.lag(x).over(w)
+        cols[f"{v}_qoq"] = ratio(x - F.lag(x).over(w), F.abs(F.lag(x).over(w)))
+        cols[f"{v}_yoy"] = ratio(x - F.lag(x, 4).over(w), F.abs(F.lag(x, 4).over(w)))
+    return df.withColumns(cols)
+
+
+def key_metrics(df: DataFrame) -> DataFrame:
+    """Margins, return on equity and invested capital, debt ratio, DuPont parts; zero bases give NULL."""
+    rev, cost, cash, assets, debt = (F.col(c).cast("double") for c in ("revenue", "cost", "cash", "assets", "debt"))
+    income, equity = rev - cost, assets - debt
+    return df.withColumns({
+        "gross_margin": ratio(rev - cost, rev), "roe": ratio(income, equity), "roic": ratio(income * 0.75, equity + debt), "debt_to_asset": ratio(debt, assets),
+        "cash_to_income": ratio(cash, income), "net_margin": ratio(income, rev), "asset_turnover": ratio(rev, assets), "leverage": ratio(assets, equity),
+        "dupont_roe": ratio(income, rev) * ratio(rev, assets) * ratio(assets, equity),
+    })
+
+
+def piotroski(df: DataFrame, key: str = "symbol", order: str = "report_period") -> DataFrame:
+    """Count of improvements against the previous report; unknown comparisons count as no."""
+    w = Window.partitionBy(key).orderBy(order)
+    cur = lambda c: F.col(c).cast("double")
+    old = lambda c: F.lag(cur(c)).over(w)
+    roa, roa0 = ratio(cur("revenue") - cur("cost"), cur("assets")), ratio(old("revenue") - old("cost"), old("assets"))
+    tests = [
+        roa > 0, cur("cash") > 0, roa > roa0, cur("cash") > cur("revenue") - cur("cost"),
+        ratio(cur("debt"), cur("assets")) < ratio(old("debt"), old("assets")), ratio(cur("revenue") - cur("cost"), cur("revenue")) > ratio(old("revenue") - old("cost"), old("revenue")),
+        ratio(cur("revenue"), cur("assets")) > ratio(old("revenue"), old("assets")),
+    ]
+    score = sum((F.coalesce(c, F.lit(False)).cast("int") for c in tests), F.lit(0))
+    return df.withColumns({"f_score": score, "f_score_100": score / F.lit(len(tests)) * 100})
+
+
+def altman_z(working: Column, retained: Column, ebit: Column, equity: Column, debt: Column, sales: Column, assets: Column) -> Column:
+    """Fixed published weights of the Z score."""
+    return 1.2 * ratio(working, assets) + 1.4 * ratio(retained, assets) + 3.3 * ratio(ebit, assets) + 0.6 * ratio(equity, debt) + 1.0 * ratio(sales, assets)
+
+
+def forensic(df: DataFrame, key: str = "symbol", order: str = "report_period") -> DataFrame:
+    """Receivable and cash growth gaps, accruals, and a weighted risk clipped to [0, 1]."""
+    g = report_growth(df, ["revenue", "cash"], key, order)
+    accrual = ratio(F.col("revenue") - F.col("cost") - F.col("cash"), F.col("assets"))
+    gap = F.col("revenue_qoq") - F.col("cash_qoq")
+    risk = 0.5 * F.least(F.greatest(F.coalesce(gap, F.lit(0.0)), F.lit(0.0)), F.lit(1.0)) + 0.5 * F.least(F.greatest(F.coalesce(accrual, F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
+    return g.withColumns({"growth_gap": gap, "accrual_ratio": accrual, "fraud_risk": risk})
+
+
+def bucket_rank(df: DataFrame, axes: dict[str, tuple[float, int]], by: list[str]) -> DataFrame:
+    """Percent rank per axis inside (date, bucket), flipped where low is better, weighted over the known axes."""
+    ranked = {}
+    for a, (_, direction) in axes.items():
+        r = pct_rank(F.col(a), *by)
+        ranked[f"{a}_rank"] = r if direction > 0 else 1 - r
+    out = df.withColumns(ranked)
+    num = sum((F.lit(w) * F.coalesce(f"{a}_rank", F.lit(0.0)) for a, (w, _) in axes.items()), F.lit(0.0))
+    den = sum((F.when(F.col(f"{a}_rank").isNotNull(), F.lit(w)).otherwise(0.0) for a, (w, _) in axes.items()), F.lit(0.0))
+    return out.withColumn("composite", ratio(num, den))
+
+
+def normal_axes(df: DataFrame, axes: dict[str, tuple[float, int]], by: list[str]) -> DataFrame:
+    """Axis clipped to its group's 1–99 % range, standardised, mapped through Φ, flipped when lower is better."""
+    clipped = winsorise_quantile(df, list(axes), by)
+    z = {a: normal_cdf(group_zscore(F.col(a), *by)) for a in axes}
+    scored = clipped.withColumns({f"{a}_score": z[a] if d > 0 else 1 - z[a] for a, (_, d) in axes.items()})
+    num = sum((F.lit(w) * F.coalesce(f"{a}_score", F.lit(0.0)) for a, (w, _) in axes.items()), F.lit(0.0))
+    den = sum((F.when(F.col(f"{a}_score").isNotNull(), F.lit(w)).otherwise(0.0) for a, (w, _) in axes.items()), F.lit(0.0))
+    return scored.withColumn("composite", ratio(num, den))
+
+
+def dcf_value(cash: Column, growth: Column, discount: Column, terminal: float = 0.02, years: int = 5) -> Column:
+    """Explicit-period plus terminal value; NULL unless the discount rate exceeds terminal growth."""
+    flows = F.aggregate(F.sequence(F.lit(1), F.lit(years)), F.lit(0.0), lambda s, k: s + cash * F.pow(1 + growth, k) / F.pow(1 + discount, k))
+    last = cash * F.pow(1 + growth, F.lit(years)) * (1 + terminal) / (discount - terminal) / F.pow(1 + discount, F.lit(years))
+    return F.when(discount > terminal, flows + last)
+
+
+def reverse_dcf(price: Column, cash: Column, discount: Column, terminal: float = 0.02, years: int = 5, lo: float = -0.5, hi: float = 1.0, steps: int = 60) -> Column:
+    """Growth rate at which the DCF equals the price, by bisection folded over a fixed number of steps."""
+    start = F.struct(F.lit(lo).alias("a"), F.lit(hi).alias("b"))
+
+    def halve(s: Column, _: Column) -> Column:
+        mid = (s["a"] + s["b"]) / 2
+        low = dcf_value(cash, mid, discount, terminal, years) < price
+        return F.struct(F.when(low, mid).otherwise(s["a"]).alias("a"), F.when(low, s["b"]).otherwise(mid).alias("b"))
+
+    end = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, halve)
+    return F.when((cash > 0) & (discount > terminal), (end["a"] + end["b"]) / 2)
+
+
+def peg(pe: Column, growth: Column) -> tuple[Column, Column]:
+    """Price/earnings to growth (in percent) and its band; no growth or earnings, no ratio."""
+    value = F.when((pe > 0) & (growth > 0), pe / (growth * 100))
+    band = F.when(value.isNull(), "not_meaningful").when(value < 1, "cheap").when(value < 2, "fair").otherwise("expensive")
+    return value, band

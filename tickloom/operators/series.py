@@ -186,3 +186,18 @@ def carry_last(
         .withColumn(out, F.coalesce(F.last(value, ignorenulls=True).over(inside), F.col("_carried")))
         .drop("_bucket", "_carried")
     )
+
+
+def previous_value(df: DataFrame, series: list[str], order: list[str], bucket: Column, value: str, out: str) -> DataFrame:
+    """The preceding row's ``value`` in a series of any length: ``lag`` inside buckets, a carried end between them."""
+    tagged = df.withColumn("_bucket", bucket)
+    ends = tagged.groupBy(*series, "_bucket").agg(F.max_by(F.col(value), F.struct(*order)).alias("_last"))
+    w = Window.partitionBy(*series).orderBy("_bucket")
+    carried = ends.select(*series, "_bucket", F.lag("_last").over(w).alias("_carried"))
+    inside = Window.partitionBy(*series, "_bucket").orderBy(*order)
+    first = F.row_number().over(inside) == 1
+    return (
+        tagged.join(carried, [*series, "_bucket"], "left")
+        .withColumn(out, F.when(first, F.col("_carried")).otherwise(F.lag(value).over(inside)))
+        .drop("_bucket", "_carried")
+    )

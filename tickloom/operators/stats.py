@@ -14,6 +14,7 @@ from tickloom.functions.columns import normal_cdf, normal_icdf, ratio
 from tickloom.operators.cross import mean_rank
 from tickloom.operators.evaluate import newey_west, pearson
 from tickloom.operators.quantiles import order_statistic
+from tickloom.session import cut_lineage
 
 EULER = 0.5772156649
 YEAR = 252
@@ -175,6 +176,7 @@ def superior_ability(excess: DataFrame, candidate: str, order: str, value: str,
     stats = stats.withColumns({
         "_upper": F.col("_mu"), "_cons": F.when(F.col("_mu") >= bound, F.col("_mu")).otherwise(0.0), "_lower": F.greatest("_mu", F.lit(0.0))
     })
+    stats = cut_lineage(stats.select(candidate, "_w", "_mu", "_upper", "_cons", "_lower"))  # one row per candidate, read three times
     length = numbered.agg((F.max("_i") + 1).alias("_len"))
 
     def draw(batches):
