@@ -12,6 +12,7 @@ from tickloom.functions import columns as C
 from tickloom.functions.factor import Factor, inputs, lookback, stages, walk
 from tickloom.operators import cross as X
 from tickloom.operators import series as S
+from tickloom.session import cut_lineage
 from tickloom.sizes import Layout
 
 
@@ -218,7 +219,9 @@ def evaluate(
 
             df = S.over_chunks(df, [lay.series], [lay.date], reach, run, lay.chunk_rows)
             continue
-        if not (kind == "cross" and lay.split_dates):
+        if kind == "cross" and lay.split_dates:
+            df = cut_lineage(df)  # a split rank reads its input several times; plans must not multiply
+        else:
             df = pinned(df, lay.date if kind == "cross" else lay.series)
         for layer in layers:
             if kind == "series":
@@ -227,6 +230,7 @@ def evaluate(
                 specs = {names[n.key]: (sub(n.args[0]), n.opts[0], n.opts[1]) for n in layer}
                 df = ewm_columns(df, specs, lay.series, lay.date)
             elif lay.split_dates:
+                df = cut_lineage(df) if layer is not layers[0] else df
                 df = _cross_split(df, {names[n.key]: n for n in layer}, sub, lay)
             else:
                 df = df.withColumns({names[n.key]: _cross(n, [sub(x) for x in n.args], lay.date) for n in layer})
