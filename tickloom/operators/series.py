@@ -30,17 +30,11 @@ def rolling(name: str, x: Column, w: WindowSpec, n: int, least: int | None = Non
     f = trailing(w, n)
     if name in ("skew", "kurt"):
         m = float(n)
-        values, centre = rolling_list(x, w, n), F.avg(x).over(f)
-        second = F.aggregate(values, F.lit(0.0), lambda s, v: s + (v - centre) * (v - centre))
         if name == "skew":
-            third = F.aggregate(values, F.lit(0.0), lambda s, v: s + (v - centre) * (v - centre) * (v - centre))
-            stat = ratio(third * F.lit(m**0.5), F.pow(second, F.lit(1.5))) * F.lit((m * (m - 1)) ** 0.5 / (m - 2))
+            stat = F.skewness(x).over(f) * F.lit((m * (m - 1)) ** 0.5 / (m - 2))
         else:
-            fourth = F.aggregate(
-                values, F.lit(0.0), lambda s, v: s + (v - centre) * (v - centre) * (v - centre) * (v - centre)
-            )
-            stat = F.lit((m - 1) / ((m - 2) * (m - 3))) * ((m + 1) * (ratio(fourth * F.lit(m), second * second) - 3.0) + 6.0)
-        return F.when(F.min(x).over(f) < F.max(x).over(f), stat)
+            stat = F.lit((m - 1) / ((m - 2) * (m - 3))) * ((m + 1) * F.kurtosis(x).over(f) + F.lit(6.0))
+        return full(F.when(F.min(x).over(f) < F.max(x).over(f), stat), x, w, n, least)
     fn = {"mean": F.avg, "sum": F.sum, "min": F.min, "max": F.max, "std": F.stddev_samp, "pstd": F.stddev_pop}[name]
     return full(fn(x).over(f), x, w, n, least)
 
