@@ -478,7 +478,7 @@ def regime_conditional_excess(spark, root):
 
 
 @query("lifecycle_replay", f"""WITH {LONG_SQL}, m AS (SELECT factor_name, date_trunc('month', trade_date)::DATE AS month, avg(ric) AS ic FROM ic GROUP BY ALL),
-f AS (SELECT *, coalesce(ic < 0, true) AS bad, row_number() OVER (PARTITION BY factor_name ORDER BY month) AS i FROM m),
+f AS (SELECT *, coalesce(ic < -1e-12, true) AS bad, row_number() OVER (PARTITION BY factor_name ORDER BY month) AS i FROM m),
 g AS (SELECT *, i - coalesce(max(CASE WHEN NOT bad THEN i END) OVER (PARTITION BY factor_name ORDER BY month), 0) AS streak FROM f),
 h AS (SELECT *, max(streak) OVER (PARTITION BY factor_name ORDER BY month) AS worst FROM g)
 SELECT factor_name, month, CAST(streak AS INT) AS degradations, CASE WHEN worst >= 3 THEN 'retired' WHEN bad THEN 'degraded' ELSE 'active' END AS stage FROM h""")
@@ -486,7 +486,7 @@ def lifecycle_replay(spark, root):
     """State per factor from ordered observations: retired for good after three bad months in a row."""
     ic = long_ic(spark, root).groupBy("factor_name", F.trunc("trade_date", "month").alias("month")).agg(F.avg("ic").alias("ic"))
     w = Window.partitionBy("factor_name").orderBy("month")
-    bad = F.coalesce(F.col("ic") < 0, F.lit(True))
+    bad = F.coalesce(F.col("ic") < -1e-12, F.lit(True))
     f = ic.withColumns({"bad": bad, "i": F.row_number().over(w)})
     f = f.withColumn("degradations", F.col("i") - F.coalesce(F.max(F.when(~F.col("bad"), F.col("i"))).over(w), F.lit(0)))
     worst = F.max("degradations").over(w)
