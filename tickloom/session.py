@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,13 +28,11 @@ def local_session(app: str = "tickloom", cores: str = "8", partitions: int = 8,
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable ``checkpoint()`` in the cluster's shared folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that every executor can reach: the session's ``spark.checkpoint.dir``.
 
-    ``spark.checkpoint.dir`` names that folder. Only when it is unset (tests on one
-    machine) a temporary folder is used.
+    Only when it is unset on one machine (tests) a temporary folder is used; on a cluster that is refused.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
@@ -42,4 +41,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
             shared = tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"))
         context.setCheckpointDir(shared)
+    return context.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable ``checkpoint()`` in the cluster's shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet in the shared folder and read back: a lineage cut that keeps column pruning."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
