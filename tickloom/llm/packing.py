@@ -106,7 +106,7 @@ def pack(items: DataFrame, capacity: int = 2048, group_pieces: int = GROUP_PIECE
     items = stored(items.withColumn(ROW, F.monotonically_increasing_id()), "pack-items")
     spark, groups = items.sparkSession, max(1, -(-items.count() // group_pieces))
 
-    def first(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def first(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         place, offset, fills = best_fit(frame["length"].to_numpy(), capacity)
         fills = np.array(fills)
         up = open_bins(fills, capacity, slack, fan_in)

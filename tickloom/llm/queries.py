@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import chat, exact, near, packing, toxicity
+from tickloom.llm import chat, exact, licenses, near, neighbours, packing, toxicity, urls, viterbi, warc
 from tickloom.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -90,3 +90,79 @@ def op9_chat_format(spark: SparkSession, folder: str) -> DataFrame:
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(turns, 256).alias("turns_sha256"), F.length(loss).cast("long").alias("loss_chars"),
         F.sha2(loss, 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
     )
+
+
+#: The domain rules as (action, host, path).
+DOMAIN_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+
+
+@query("op2_url_filters")
+def op2_url_filters(spark: SparkSession, folder: str) -> DataFrame:
+    """Labels of documents are labels of the pages that show them: a page's URL holds the document's number. A page is
+    bad when its document is toxic or of low quality."""
+    pages, labels = table(spark, folder, "pages").select("page_id", "url"), table(spark, folder, "labels")
+    bad = labels.groupBy("doc_id").agg(F.max(((F.col("toxic") == 1) | (F.col("quality") == 0)).cast("int")).alias("bad"))
+    numbered = pages.withColumn("doc_id", F.regexp_extract(urls.path_of(F.col("url")), r"/(\d{1,18})(?:\D|$)", 1).try_cast("long"))
+    rules = urls.mine(numbered.join(bad, "doc_id"))
+    told = urls.judge(pages, rules, DOMAIN_RULES)
+    return told.select("page_id", F.col("__host").alias("host"), F.col("__path").alias("path"), F.col("__rule").alias("rule"), F.col("__verdict").alias("verdict"), F.col("__why").alias("mined_tokens"))
+
+
+_B32 = " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', cast((('0x' || substr(d, {1 + 5 * i}, 5))::bigint >> {15 - 5 * j}) & 31 as int) + 1, 1)" for i in range(8) for j in range(4)
+)
+
+
+@query(
+    "op3_warc",
+    f"""
+with p as (select page_id, coalesce(html, '') as h, sha1(coalesce(html, '')) as d from pages),
+m as (select d, max(page_id) as head from p group by d)
+select page_id, cast(strlen(h) as bigint) as payload_bytes, {_B32} as payload_digest,
+    case when page_id = head then 'response' else 'revisit' end as record_type, case when page_id <> head then head end as refers_to
+from p join m using (d)
+""",
+)
+def op3_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.archive_pages(table(spark, folder, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+#: License notices and texts to look for.
+LICENSES = {
+    "Apache-2.0 notice": "Licensed under the Apache License, Version 2.0.",
+    "MIT notice": "Released under the MIT License.",
+    "GPL-3.0 notice": "This work is licensed under the GNU General Public License, version 3.",
+    "CC-BY-NC-4.0 notice": "Licensed under CC BY-NC 4.0.",
+    "MIT": (
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), "
+        "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, "
+        "and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above "
+        "copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
+    ),
+    "Apache-2.0 header": (
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy "
+        "of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the "
+        "License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific "
+        "language governing permissions and limitations under the License."
+    ),
+}
+
+
+@query("op4_licenses")
+def op4_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.license_spans(table(spark, folder, "documents").select("doc_id", "text"), LICENSES)
+
+
+@query("op5_sentencepiece")
+def op5_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids of every text, and whether decoding them gives the text back."""
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    shown = F.replace(F.coalesce("text", F.lit("")), F.lit(viterbi.BLANK), F.lit(" "))
+    docs = table(spark, folder, "documents").select("doc_id", "text", F.sha2(shown, 256).alias("source_sha256"))
+    back = viterbi.decoded(viterbi.encoded(docs, model), model).withColumn("text_sha256", F.sha2("text", 256))
+    return back.select("doc_id", "n_ids", "ids_crc32", "text_sha256", (F.col("text_sha256") == F.col("source_sha256")).alias("round_trip"))
+
+
+@query("op10_neighbours")
+def op10_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.nearest(table(spark, folder, "embeddings"), "id % 20 = 0")
