@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tickloom.session import stored
 
@@ -114,3 +115,9 @@ def ascii_lower(text: Column) -> Column:
 def numbered(df: DataFrame, name: str) -> DataFrame:
     """``df`` stored with a row number: the number belongs to the stored row, so lost executors cannot change it."""
     return stored(df.withColumn(ROW, F.monotonically_increasing_id()), name)
+
+
+def widened(df: DataFrame, fields: str) -> T.StructType:
+    """The schema of ``df`` and further ``fields`` (DDL), all of which may be null."""
+    added = T.StructType.fromDDL(fields)
+    return T.StructType([T.StructField(f.name, f.dataType, True) for f in [*df.schema, *added]])

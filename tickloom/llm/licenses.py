@@ -9,7 +9,8 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from tickloom.llm.common import widened
 
 _WORD = re.compile(r"\w+")
 
@@ -119,5 +120,5 @@ def license_spans(df: DataFrame, templates: dict[str, str], text: str = "text",
             columns = [pa.array(c, kind) for c, (_, kind) in zip(zip(*found, strict=True) if found else [()] * 5, added, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], *columns], names=[*kept, *(n for n, _ in added)])
 
-    null = {"license": "string", "coverage": "double", "first_word": "long", "last_word": "long", "aligned": "long"}
-    return df.select(text, *kept).mapInArrow(task, df.select(*kept).withColumns({n: F.lit(None).cast(t) for n, t in null.items()}).schema)
+    schema = widened(df.select(*kept), "license string, coverage double, first_word long, last_word long, aligned long")
+    return df.select(text, *kept).mapInArrow(task, schema)

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import ROW
+from tickloom.llm.common import ROW, widened
 from tickloom.llm.tokens import BytePairs
 from tickloom.session import stored
 
@@ -48,7 +48,7 @@ def pieces(df: DataFrame, text: str, tokenizer: tuple[str, str, str], capacity:
             columns += [pa.array(numbers, pa.int32()), *(pa.array(x, pa.int64()) for x in (starts, lengths, sums))]
             yield pa.RecordBatch.from_arrays(columns, names=[*kept, "piece", "start", "length", "ids_crc32"])
 
-    schema = df.select(*kept).withColumns({"piece": F.lit(0), "start": F.lit(0).cast("long"), "length": F.lit(0).cast("long"), "ids_crc32": F.lit(0).cast("long")}).schema
+    schema = widened(df.select(*kept), "piece int, start long, length long, ids_crc32 long")
     return df.select(text, *kept).mapInArrow(task, schema)
 
 

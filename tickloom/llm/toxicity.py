@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import mix, word_runs
+from tickloom.llm.common import mix, widened, word_runs
 
 _BIGRAM, _SKIP = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
 
@@ -113,4 +113,4 @@ def score(df: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text: str
             yield pa.RecordBatch.from_arrays([*batch.columns, scores], names=[*names, name])
 
     names = df.columns
-    return df.mapInArrow(task, df.withColumn(name, F.lit(0.0)).schema)
+    return df.mapInArrow(task, widened(df, f"{name} double"))

@@ -11,7 +11,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import UPPER
+from tickloom.llm.common import UPPER, widened
 
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 BAD, GOOD = "class=bad", "class=good"
@@ -19,12 +19,14 @@ BAD, GOOD = "class=bad", "class=good"
 
 @dataclass(frozen=True)
 class Mining:
-    """``support``: share of the labelled URLs that hold a rule's tokens and its class; ``confidence``: share of the
+    """``support``: share of the labelled URLs that hold a rule's tokens and its class, and ``rows`` of them at least;
+    ``confidence``: share of the
     URLs with its tokens that are of its class. URLs with more than ``tokens`` distinct tokens are not learned from, so
     there are at most ``2^tokens / support`` frequent sets at any size of input, and far fewer in fact; they are judged
     like all others."""
 
     support: float = 0.002
+    rows: int = 20
     confidence: float = 0.6
     tokens: int = 16
 
@@ -64,15 +66,16 @@ def domain_rule(host: Column, path: Column, rules: list[tuple[str, str, str]]) -
 def mine(labelled: DataFrame, url: str = "url", label: str = "bad", p: Mining = Mining()) -> list[tuple[frozenset, str, float, float]]:
     """(tokens, class, confidence, support) of the rules that pass, from rows whose label is 0 or 1 (null: left out).
 
-    A rule goes when one with fewer of its tokens and the same class is at least as sure. Without labelled rows there
-    are no rules. How many rules there can be does not depend on the number of rows: they are held on the driver.
+    A rule goes when one with fewer of its tokens and the same class is at least as sure. Below ``rows`` labelled
+    URLs there are no rules. How many rules there can be does not depend on the number of rows: they are held on the driver.
     """
     sides = F.when(F.col(label) == 1, BAD).when(F.col(label) == 0, GOOD)
     baskets = labelled.select(tokens_of(F.col(url)).alias("items"), sides.alias("side")).filter(f"side is not null and size(items) between 1 and {p.tokens}")
     baskets = baskets.select(F.array_append("items", F.col("side")).alias("items"))
-    if baskets.isEmpty():
+    count = baskets.count()
+    if count < p.rows:
         return []
-    model = FPGrowth(itemsCol="items", minSupport=p.support, minConfidence=p.confidence).fit(baskets)
+    model = FPGrowth(itemsCol="items", minSupport=max(p.support, p.rows / count), minConfidence=p.confidence).fit(baskets)
     passed = model.associationRules.filter(F.col("consequent")[0].isin(BAD, GOOD)).select("antecedent", F.col("consequent")[0].alias("side"), "confidence", "support").collect()
     rules = sorted(((frozenset(r.antecedent), r.side, r.confidence, r.support) for r in passed), key=lambda r: (len(r[0]), sorted(r[0])))
     surest = {(tokens, side): sure for tokens, side, sure, _ in rules}
@@ -112,8 +115,7 @@ def judge(df: DataFrame, mined: list, rules: list[tuple[str, str, str]], url: st
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sides, pa.string()), pa.array(why, pa.string())], names=[*names, "__side", "__why"])
 
     names = df.columns
-    schema = df.withColumns({"__side": F.lit("").cast("string"), "__why": F.lit("").cast("string")}).schema
-    told = df.withColumn("__tokens", tokens_of(F.col(url))).mapInArrow(task, schema)
+    told = df.withColumn("__tokens", tokens_of(F.col(url))).mapInArrow(task, widened(df, "__side string, __why string"))
     told = told.withColumns({"__host": host_of(F.col(url)), "__path": path_of(F.col(url))})
     told = told.withColumn("__fit", domain_rule(F.col("__host"), F.col("__path"), rules))
     verdict = F.coalesce(F.col("__fit.action"), F.when(F.col("__side") == BAD, "block").otherwise("allow"))

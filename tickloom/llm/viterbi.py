@@ -8,7 +8,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from tickloom.llm.common import widened
 
 BLANK = "▁"
 REMEMBERED = 200_000
@@ -151,7 +152,7 @@ def encoded(df: DataFrame, model_path: str, text: str = "text") -> DataFrame:
                 values = pa.array(np.frombuffer(b"".join(ids), dtype="<i4"))
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.ListArray.from_arrays(pa.array(ends), values)], names=[*kept, "ids"])
 
-    return df.select(text, *kept).mapInArrow(task, df.select(*kept).withColumn("ids", F.lit(None).cast("array<int>")).schema)
+    return df.select(text, *kept).mapInArrow(task, widened(df.select(*kept), "ids array<int>"))
 
 
 def decoded(df: DataFrame, model_path: str, ids: str = "ids") -> DataFrame:
@@ -166,5 +167,5 @@ def decoded(df: DataFrame, model_path: str, ids: str = "ids") -> DataFrame:
             added = [pa.array([vocabulary.decode(r) for r in raw]), pa.array([len(r) // 4 for r in raw], pa.int64()), pa.array([zlib.crc32(r) for r in raw], pa.int64())]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], *added], names=[*kept, "text", "n_ids", "ids_crc32"])
 
-    schema = df.select(*kept).withColumns({"text": F.lit("").cast("string"), "n_ids": F.lit(None).cast("long"), "ids_crc32": F.lit(None).cast("long")}).schema
+    schema = widened(df.select(*kept), "text string, n_ids long, ids_crc32 long")
     return df.select(ids, *kept).mapInArrow(task, schema)
