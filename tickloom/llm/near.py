@@ -23,24 +23,38 @@ _STEP = (0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xA0761D647
 class Near:
     """``words`` a shingle, ``percent`` similarity at least, ``bands`` of ``rows`` bins.
 
-    At a Jaccard similarity of exactly 0.75 a pair shares no band with probability (1 - 0.75^6)^56 = 2e-5, and above
-    it less. ``centres``: star centres per bucket in the later rounds, multiplied by four each round.
+    At a Jaccard similarity of exactly 0.75 a pair shares no band with probability (1 - 0.75^5)^40 = 2e-5, and above
+    it less. ``block``: members of a bucket that meet as many others in one task, where a star did not settle it.
+    ``sigmas``: how far below the similarity an estimate from all bins may lie before a pair there is given up.
     """
 
     words: int = 5
     percent: int = 75
-    bands: int = 56
-    rows: int = 6
-    centres: int = 4
+    bands: int = 40
+    rows: int = 5
+    block: int = 256
+    sigmas: float = 5.5
 
 
-def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
-    """Distinct 64-bit shingle hashes in ascending order; fewer words than a shingle make one, no words none."""
-    if not len(words):
-        return words
-    size = min(size, len(words))
-    total = reduce(lambda a, b: a + b, (words[i : len(words) - size + 1 + i] * np.uint64(_STEP[i % len(_STEP)] + 2 * (i // len(_STEP))) for i in range(size)))
-    return np.unique(mix(total + np.uint64(size)))
+def shingle_runs(words: np.ndarray, borders: np.ndarray, size: int) -> list[np.ndarray]:
+    """Per text its distinct 64-bit shingle hashes in ascending order; a text of fewer words than a shingle makes one
+    of all its words, a text without words none."""
+
+    def hashed(parts: list[np.ndarray]) -> np.ndarray:
+        total = reduce(lambda a, b: a + b, (w * np.uint64(_STEP[k % len(_STEP)] + 2 * (k // len(_STEP))) for k, w in enumerate(parts)))
+        return mix(total + np.uint64(len(parts)))
+
+    last = len(words) - size + 1
+    whole = hashed([words[k : last + k] for k in range(size)]) if last > 0 else words[:0]
+    out = []
+    for low, high in zip(borders[:-1].tolist(), borders[1:].tolist(), strict=True):
+        if high - low >= size:
+            found = np.sort(whole[low : high - size + 1])
+            found = found[np.append(True, found[1:] != found[:-1])]
+        else:
+            found = hashed([words[k : k + 1] for k in range(low, high)]) if high > low else words[:0]
+        out.append(found)
+    return out
 
 
 class Sketcher:
@@ -50,44 +64,58 @@ class Sketcher:
     def __init__(self, p: Near) -> None:
         self.p, self.bins = p, p.bands * p.rows
         rng = np.random.default_rng(20240229)
-        self.order = np.argsort(rng.random((self.bins, self.bins)), axis=1).astype(np.int16)  # order[b][c]: when b asks c
+        self.asks = np.argsort(rng.random((self.bins, self.bins)), axis=1)  # asks[b][t]: the bin that b asks in try t
+        self.place = np.argsort(self.asks, axis=1).astype(np.int16)  # place[b][c]: in which try b asks c
         self.weights = mix(np.arange(1, p.rows + 1, dtype=np.uint64)) | np.uint64(1)
         self.band = mix(np.arange(1000, 1000 + p.bands, dtype=np.uint64))
 
-    def keys(self, hashes: np.ndarray) -> np.ndarray:
-        """One 64-bit key per band for the sorted distinct shingle hashes of a text."""
+    def fill(self, hashes: np.ndarray) -> np.ndarray:
+        """All bins for the sorted distinct shingle hashes of a text."""
         at = ((hashes >> np.uint64(32)) * np.uint64(self.bins) >> np.uint64(32)).astype(np.int64)
         first = np.flatnonzero(np.diff(at, prepend=-1))  # hashes ascend, so a bin's first is its least
-        full, values = at[first], hashes[first]
-        bins = np.empty(self.bins, dtype=np.uint64)
-        bins[full] = values
-        if len(full) < self.bins:
-            empty = np.setdiff1d(np.arange(self.bins), full, assume_unique=True)
-            bins[empty] = values[self.order[np.ix_(empty, full)].argmin(axis=1)]
+        full = at[first]
+        bins = np.zeros(self.bins, dtype=np.uint64)
+        bins[full] = hashes[first]
+        held = np.zeros(self.bins, dtype=bool)
+        held[full] = True
+        empty = np.flatnonzero(~held)
+        if len(full) < 24:
+            bins[empty] = bins[full[self.place[np.ix_(empty, full)].argmin(axis=1)]]
+            return bins
+        source, waiting, t = np.arange(self.bins), empty, 0
+        while len(waiting):
+            asked = self.asks[waiting, t]
+            hit = held[asked]
+            source[waiting[hit]] = asked[hit]
+            waiting, t = waiting[~hit], t + 1
+        return bins[source]
+
+    def keys(self, bins: np.ndarray) -> np.ndarray:
+        """One 64-bit key per band."""
         return mix((bins.reshape(self.p.bands, self.p.rows) * self.weights).sum(axis=1, dtype=np.uint64) + self.band)
 
 
 def sketches(df: DataFrame, p: Near) -> DataFrame:
-    """(id, text) → (id, shingles, class, bands). ``class`` is a 128-bit digest of the words, null without words."""
+    """(id, text) → (id, shingles, class, bands, low). ``class`` is a 128-bit digest of the words, null without words;
+    ``low`` holds a byte of each bin."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketcher = Sketcher(p)
         for batch in batches:
-            count, keys, classes = np.zeros(batch.num_rows, dtype=np.int32), [None] * batch.num_rows, [None] * batch.num_rows
+            count = np.zeros(batch.num_rows, dtype=np.int32)
+            keys, classes, low = [None] * batch.num_rows, [None] * batch.num_rows, [None] * batch.num_rows
             raw, offsets = bytes_of(batch.column(1))
             for first, words, b in word_runs(batch.column(1)):
-                for i in range(len(b) - 1):
-                    if b[i] == b[i + 1]:
-                        continue
-                    row = first + i
-                    hashes = shingle_hashes(words[b[i] : b[i + 1]], p.words)
-                    count[row], keys[row] = len(hashes), sketcher.keys(hashes).view(np.int64)
-                    plain = b" ".join(raw[offsets[row] : offsets[row + 1]].tobytes().lower().split())
-                    classes[row] = hashlib.blake2b(plain, digest_size=16).digest()
-            columns = [batch.column(0), pa.array(count), pa.array(classes, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "shingles", "class", "bands"])
+                for row, hashes in enumerate(shingle_runs(words, b, p.words), first):
+                    if len(hashes):
+                        bins = sketcher.fill(hashes)
+                        count[row], keys[row], low[row] = len(hashes), sketcher.keys(bins).view(np.int64), bins.astype(np.uint8).tobytes()
+                        plain = b" ".join(raw[offsets[row] : offsets[row + 1]].tobytes().lower().split())
+                        classes[row] = hashlib.blake2b(plain, digest_size=16).digest()
+            columns = [batch.column(0), pa.array(count), pa.array(classes, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(low, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "shingles", "class", "bands", "low"])
 
-    return df.mapInArrow(task, "id long, shingles int, class binary, bands array<long>")
+    return df.mapInArrow(task, "id long, shingles int, class binary, bands array<long>, low binary")
 
 
 def shingle_set(text: str, size: int) -> set:
@@ -120,53 +148,80 @@ def confirmed(pairs: DataFrame, texts: DataFrame, p: Near) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(task, "a long, b long")
 
 
-def star_round(active: DataFrame, centres: int, number: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs of each bucket's centres with its other members, and the members without the centres.
+def star_pairs(active: DataFrame, p: Near) -> DataFrame:
+    """Distinct (a < b) of each bucket's smallest id and its other members whose set sizes allow the similarity."""
+    centres = active.groupBy("bucket").agg(F.min(F.struct("id", "shingles")).alias("c"))
+    met = active.join(centres, "bucket").filter(F.col("id") != F.col("c.id"))
+    least, most = F.least("shingles", "c.shingles"), F.greatest("shingles", "c.shingles")
+    return met.filter(100 * least >= p.percent * most).select(F.col("c.id").alias("a"), F.col("id").alias("b")).distinct()
+
 
-    A centre is compared with all others of its bucket, so it is done with there afterwards. Centres come first by a
-    hash of their id alone: one text is the centre of most buckets that it is in, and its pairs coincide.
+def rest_pairs(active: DataFrame, groups: DataFrame, classes: DataFrame, p: Near) -> DataFrame:
+    """Distinct (a < b) that the stars left open: pairs of one bucket whose members are in different components.
+
+    A bucket of one component is settled, and so is its smallest id, which met every member. The others of an open
+    bucket are dealt to blocks by a hash, and each pair of blocks meets in one group of at most about ``2 * block``
+    rows. There the similarity is estimated from a byte of every bin; only pairs whose estimate is within ``sigmas``
+    deviations of the threshold leave the group. Pairs are looked at in place and never emitted as such.
     """
-    hashed = [F.min_by("id", F.xxhash64("id", F.lit(number * 1000 + i))) for i in range(centres)] if number else [F.min("id")]
-    chosen = active.groupBy("bucket").agg(F.array_distinct(F.array(*hashed)).alias("ids")).select("bucket", F.explode("ids").alias("c"))
-    sizes = active.select("bucket", F.col("id").alias("c"), F.col("shingles").alias("c_shingles"), F.col("group").alias("c_group"))
-    chosen = stored(chosen.join(sizes, ["bucket", "c"]), "near-centres")
-    return chosen, active.join(chosen.select("bucket", F.col("c").alias("id")), ["bucket", "id"], "left_anti")
+    labelled = active.join(groups.withColumnRenamed("component", "group"), "id", "left").withColumn("group", F.coalesce("group", "id"))
+    spread = labelled.groupBy("bucket").agg(F.min("id").alias("centre"), F.min("group").alias("least"), F.max("group").alias("most"), F.count(F.lit(1)).alias("held"))
+    spread = spread.filter("least <> most and held > 2").select("bucket", "centre", "held")
+    left = labelled.join(spread, "bucket").filter("id <> centre")
+    blocks = F.ceil(F.col("held") / p.block).cast("int")
+    dealt = left.withColumn("own", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.select("bucket", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "id", "shingles", "group")
+    whole = dealt.join(classes.select("id", "low"), "id")
+    bins = p.bands * p.rows
+
+    def compare(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        ids, sizes, group, own = (rows[c].to_numpy() for c in ("id", "shingles", "group", "own"))
+        low = np.frombuffer(b"".join(rows["low"].to_pylist()), dtype=np.uint8).reshape(len(ids), bins)
+        x, y = rows["x"][0].as_py(), rows["y"][0].as_py()
+        left, right = np.flatnonzero(own == x), np.flatnonzero(own == y)
+        out = []
+        for i in left.tolist():
+            others = right[right > i] if x == y else right
+            least, most = np.minimum(sizes[i], sizes[others]).astype(np.int64), np.maximum(sizes[i], sizes[others]).astype(np.int64)
+            others, least = (v[(group[others] != group[i]) & (100 * least >= p.percent * most)] for v in (others, least))
+            if len(others):
+                j = p.percent / 100
+                needed = bins * (j - p.sigmas * np.sqrt(j * (1 - j) / np.minimum(least, bins)))
+                close = others[(low[others] == low[i]).sum(axis=1) >= needed]
+                out.append(np.column_stack([np.minimum(ids[i], ids[close]), np.maximum(ids[i], ids[close])]))
+        found = np.concatenate(out) if out else np.zeros((0, 2), dtype=np.int64)
+        return found[:, 0], found[:, 1]
 
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None  # the rows of the group that has not ended
+        for batch in batches:
+            held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            key = np.column_stack([held[c].to_numpy() for c in ("bucket", "x", "y")])
+            cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist()]
+            for start, end in zip(cuts, cuts[1:], strict=False):
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in compare(held.slice(start, end - start).combine_chunks())], names=["a", "b"])
+            held = held.slice(cuts[-1])
+        if held is not None and held.num_rows:
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in compare(held.combine_chunks())], names=["a", "b"])
 
-def star_pairs(active: DataFrame, chosen: DataFrame, p: Near) -> DataFrame:
-    """Distinct (a < b) of centres and members that are not yet in one group and whose set sizes allow the similarity."""
-    least, most = F.least("shingles", "c_shingles"), F.greatest("shingles", "c_shingles")
-    met = active.join(chosen, "bucket").filter((F.col("id") != F.col("c")) & (F.col("group") != F.col("c_group")) & (100 * least >= p.percent * most))
-    return met.select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct()
+    met = whole.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
+    return met.mapInArrow(task, "a long, b long").filter("a <> b").distinct()
 
 
 def near_links(classes: DataFrame, df: DataFrame, p: Near) -> DataFrame:
-    """All confirmed links (a, b) between class representatives that share a band, up to ones inside a found component.
+    """Confirmed links (a, b) between class representatives that share a band; inside a component that the stars
+    found, only the stars' own links.
 
-    Round 0 compares each bucket with its smallest id. Buckets that then still hold several components go on: their
-    next centres are compared with every member of another component, until each bucket is of one component or each
-    pair in it has been compared. A hot bucket thus costs its size per centre, never its square at once.
+    Each bucket is a star first: its smallest id meets every other member. The components of the confirmed edges settle
+    most buckets; the rest is compared by ``rest_pairs``. A pair is lost only if its sketches mislead: see ``Near``.
     """
     banded = classes.select("id", "shingles", F.explode("bands").alias("bucket"))
-    shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("held"), F.min("id").alias("low"), F.max("id").alias("high")).filter("held > 1 and low <> high").select("bucket")
-    active = stored(banded.join(shared, "bucket").withColumn("group", F.col("id")), "near-buckets")
+    shared = banded.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low <> high").select("bucket")
+    active = stored(banded.join(shared, "bucket"), "near-buckets")
     texts = stored(df.join(active.select("id").distinct(), "id", "left_semi"), "near-texts")
-    links = compared = None
-    number, centres = 0, 1
-    while True:
-        chosen, rest = star_round(active, centres, number)
-        pairs = star_pairs(active, chosen, p)
-        pairs = stored(pairs if compared is None else pairs.join(compared, ["a", "b"], "left_anti"), "near-pairs")
-        found = stored(confirmed(pairs, texts, p), "near-links")
-        links = found if links is None else links.union(found)
-        compared = pairs if compared is None else compared.union(pairs)
-        groups = components(links)
-        moved = rest.drop("group").join(groups.withColumnRenamed("component", "group"), "id", "left").withColumn("group", F.coalesce("group", "id"))
-        open_buckets = moved.groupBy("bucket").agg(F.min("group").alias("low"), F.max("group").alias("high")).filter("low <> high").select("bucket")
-        active = stored(moved.join(open_buckets, "bucket"), "near-open")
-        number, centres = number + 1, min(p.centres * 4**number, 64)
-        if active.isEmpty():
-            return links
+    links = stored(confirmed(stored(star_pairs(active, p), "near-pairs"), texts, p), "near-links")
+    further = stored(rest_pairs(active, components(links), classes, p), "near-pairs")
+    return links.union(stored(confirmed(further, texts, p), "near-links"))
 
 
 def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", p: Near = Near()) -> DataFrame:
@@ -182,7 +237,7 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", p: Ne
     drawn = stored(sketches(source, p), "near-sketches")
     known = drawn.filter("class is not null and id is not null")
     members = known.groupBy("class").agg(F.min("id").alias("rep"))
-    classes = known.join(members, (known["class"] == members["class"]) & (known["id"] == members["rep"])).select("id", "shingles", "bands").dropDuplicates(["id", "bands"])
+    classes = known.join(members, (known["class"] == members["class"]) & (known["id"] == members["rep"])).select("id", "shingles", "bands", "low").dropDuplicates(["id", "bands"])
     groups = components(near_links(classes, source.filter("id is not null"), p))
     placed = drawn.select("id", "shingles", "class").join(members, "class", "left")
     placed = placed.join(groups.select(F.col("id").alias("rep"), "component"), "rep", "left")
