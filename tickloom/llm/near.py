@@ -57,6 +57,25 @@ def shingle_runs(words: np.ndarray, borders: np.ndarray, size: int) -> list[np.n
     return out
 
 
+class Shared:
+    """How many shingles a text shares with each text of a small group, by an inverted index of the group."""
+
+    def __init__(self, texts: pa.ChunkedArray, size: int) -> None:
+        each = [h for _, words, b in word_runs(texts) for h in shingle_runs(words, b, size)]
+        self.ends = np.cumsum([0, *map(len, each)])
+        _, self.number = np.unique(np.concatenate(each), return_inverse=True)
+        order = np.argsort(self.number, kind="stable")
+        self.owner = np.repeat(np.arange(len(each)), np.diff(self.ends))[order]
+        self.count = np.bincount(self.number)
+        self.start = np.cumsum(self.count) - self.count
+
+    def with_all(self, i: int) -> np.ndarray:
+        mine = self.number[self.ends[i] : self.ends[i + 1]]
+        count = self.count[mine]
+        steps = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        return np.bincount(self.owner[np.repeat(self.start[mine], count) + steps], minlength=len(self.ends) - 1)
+
+
 class Sketcher:
     """Bins of one permutation, filled up by optimal densification: an empty bin takes the value of the first full bin
     in a random order of its own, which is the same order for every text."""
@@ -156,13 +175,14 @@ def star_pairs(active: DataFrame, p: Near) -> DataFrame:
     return met.filter(100 * least >= p.percent * most).select(F.col("c.id").alias("a"), F.col("id").alias("b")).distinct()
 
 
-def rest_pairs(active: DataFrame, groups: DataFrame, classes: DataFrame, p: Near) -> DataFrame:
+def rest_pairs(active: DataFrame, groups: DataFrame, classes: DataFrame, texts: DataFrame, p: Near) -> DataFrame:
     """Distinct (a < b) that the stars left open: pairs of one bucket whose members are in different components.
 
     A bucket of one component is settled, and so is its smallest id, which met every member. The others of an open
     bucket are dealt to blocks by a hash, and each pair of blocks meets in one group of at most about ``2 * block``
-    rows. There the similarity is estimated from a byte of every bin; only pairs whose estimate is within ``sigmas``
-    deviations of the threshold leave the group. Pairs are looked at in place and never emitted as such.
+    rows. There the similarity is estimated from a byte of every bin; pairs whose estimate is within ``sigmas``
+    deviations of the threshold are compared by their shingle hashes in place. A group emits a spanning forest of the
+    links that it finds, so fewer pairs than it has rows.
     """
     labelled = active.join(groups.withColumnRenamed("component", "group"), "id", "left").withColumn("group", F.coalesce("group", "id"))
     spread = labelled.groupBy("bucket").agg(F.min("id").alias("centre"), F.min("group").alias("least"), F.max("group").alias("most"), F.count(F.lit(1)).alias("held"))
@@ -171,7 +191,7 @@ def rest_pairs(active: DataFrame, groups: DataFrame, classes: DataFrame, p: Near
     blocks = F.ceil(F.col("held") / p.block).cast("int")
     dealt = left.withColumn("own", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     dealt = dealt.select("bucket", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "id", "shingles", "group")
-    whole = dealt.join(classes.select("id", "low"), "id")
+    whole = dealt.join(classes.select("id", "low").join(texts, "id"), "id")
     bins = p.bands * p.rows
 
     def compare(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -179,17 +199,24 @@ def rest_pairs(active: DataFrame, groups: DataFrame, classes: DataFrame, p: Near
         low = np.frombuffer(b"".join(rows["low"].to_pylist()), dtype=np.uint8).reshape(len(ids), bins)
         x, y = rows["x"][0].as_py(), rows["y"][0].as_py()
         left, right = np.flatnonzero(own == x), np.flatnonzero(own == y)
-        out = []
+        shared, root, out = None, np.arange(len(ids)), []
         for i in left.tolist():
             others = right[right > i] if x == y else right
             least, most = np.minimum(sizes[i], sizes[others]).astype(np.int64), np.maximum(sizes[i], sizes[others]).astype(np.int64)
-            others, least = (v[(group[others] != group[i]) & (100 * least >= p.percent * most)] for v in (others, least))
+            fits = (group[others] != group[i]) & (root[others] != root[i]) & (100 * least >= p.percent * most)
+            others, least = others[fits], least[fits]
             if len(others):
                 j = p.percent / 100
                 needed = bins * (j - p.sigmas * np.sqrt(j * (1 - j) / np.minimum(least, bins)))
-                close = others[(low[others] == low[i]).sum(axis=1) >= needed]
-                out.append(np.column_stack([np.minimum(ids[i], ids[close]), np.maximum(ids[i], ids[close])]))
-        found = np.concatenate(out) if out else np.zeros((0, 2), dtype=np.int64)
+                others = others[(low[others] == low[i]).sum(axis=1) >= needed]
+            if len(others):
+                shared = shared or Shared(rows["text"], p.words)
+                both = shared.with_all(i)[others]
+                for k in others[100 * both >= p.percent * (sizes[i].astype(np.int64) + sizes[others] - both)].tolist():
+                    if root[k] != root[i]:
+                        out.append((min(ids[i], ids[k]), max(ids[i], ids[k])))
+                        root[root == root[k]] = root[i]
+        found = np.array(out, dtype=np.int64).reshape(-1, 2)
         return found[:, 0], found[:, 1]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,7 +247,7 @@ def near_links(classes: DataFrame, df: DataFrame, p: Near) -> DataFrame:
     active = stored(banded.join(shared, "bucket"), "near-buckets")
     texts = stored(df.join(active.select("id").distinct(), "id", "left_semi"), "near-texts")
     links = stored(confirmed(stored(star_pairs(active, p), "near-pairs"), texts, p), "near-links")
-    further = stored(rest_pairs(active, components(links), classes, p), "near-pairs")
+    further = stored(rest_pairs(active, components(links), classes, texts, p), "near-pairs")
     return links.union(stored(confirmed(further, texts, p), "near-links"))
 
 
