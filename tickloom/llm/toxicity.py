@@ -76,13 +76,18 @@ def learn(texts: pa.Array, labels: np.ndarray, p: Ftrl) -> tuple[np.ndarray, np.
 
 
 def fit(labelled: DataFrame, text: str = "text", label: str = "label", order: Column | None = None, p: Ftrl = Ftrl()) -> tuple[np.ndarray, np.ndarray, float]:
-    """Sparse weights from the ``p.sample`` labelled rows that come first by ``order`` (a hash; default of the text).
+    """Sparse weights from the ``p.sample`` labelled rows that come first by ``order`` (an evenly spread
+    64-bit hash; default of the text).
 
     Rows without a label are left out; null texts are empty. Without any row the weights are empty and every score is
     0.5 at most. At most ``2^bits`` weights reach the driver, whatever the input: they are broadcast afterwards.
     """
     order = F.xxhash64(F.coalesce(F.col(text), F.lit(""))) if order is None else order
-    chosen = labelled.filter(F.col(label).isNotNull()).select(order.alias("o"), F.col(text).alias("t"), F.col(label).cast("double").alias("y")).orderBy("o", "t", "y").limit(p.sample)
+    known = labelled.filter(F.col(label).isNotNull()).select(order.alias("o"), F.col(text).alias("t"), F.col(label).cast("double").alias("y"))
+    share = 1.2 * (p.sample + 100) / max(1, known.select("y").count())
+    if share < 1:  # of evenly spread hashes the first ones are below this; only they are gathered and sorted
+        known = known.filter(F.col("o") < int(share * 2**64) - 2**63)
+    chosen = known.orderBy("o", "t", "y").limit(p.sample)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whole = pa.Table.from_batches(list(batches), pa.schema([("t", pa.string()), ("y", pa.float64())]))
