@@ -13,8 +13,8 @@ from tickloom.checks import QUERIES  # noqa: E402
 from tickloom.session import local_session  # noqa: E402
 
 HEADLINE = [
-    "rank_ic_momentum", "factors_default18", "alpha101_001_012", "cicc_shape", "asof_statements", "asof_bucketed_ticks", "event_decay_daily",
-    "eligibility_masks", "label_session_clock", "label_triple_barrier", "ic_summary_hac", "stratified_ic", "integrity_quarantine",
+    "rank_ic_momentum", "factors_default18", "alpha101_001_012", "cicc_shape", "cicc_corr", "asof_statements", "asof_bucketed_ticks", "event_decay_daily",
+    "eligibility_masks", "label_session_clock", "label_triple_barrier", "ic_summary_hac", "stratified_ic", "factor_summary_table", "integrity_quarantine",
     "panel_reconcile", "event_integrity_checks", "session_bars", "universe_filter_audit", "fifo_round_trips", "sector_signals", "flow_features",
     "news_cross_validation", "bucket_fundamental_rank",
 ]

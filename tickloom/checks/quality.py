@@ -172,7 +172,7 @@ def receive_delay_percentiles(spark, root):
     d = j.select((F.datediff(F.to_date("l_shipdate"), F.to_date("o_orderdate"))).cast("double").alias("lag_days"))
     q = exact_quantiles(d, [], "lag_days", {"p50": 0.5, "p95": 0.95, "p99": 0.99})
     rest = d.agg(F.max("lag_days").alias("worst"), count_if(F.col("lag_days") < 0).alias("negative"))
-    return q.crossJoin(rest)  # one row each
+    return q.select(*(F.round(c, 6).alias(c) for c in ("p50", "p95", "p99"))).crossJoin(rest)  # one row each
 
 
 @query("data_quality_gates", f"""WITH {PANEL_SQL}, f AS (SELECT count(*) AS r, count(DISTINCT symbol) AS s, count(DISTINCT trade_date) AS d, avg((mom IS NULL)::INT) AS nulls, sum((trade_date > DATE '2001-10-01')::INT) AS late FROM panel)

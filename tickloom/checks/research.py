@@ -79,8 +79,8 @@ def sector_rotation_score(spark, root):
 
 @query("sector_heat", f"""WITH {SB_SQL}, m AS (SELECT *, close / lag(close, 5) {W} - 1 AS r5, close / lag(close, 20) {W} - 1 AS r20, close / lag(close, 60) {W} - 1 AS r60, close / max(close) OVER (PARTITION BY symbol ORDER BY trade_date ROWS BETWEEN 59 PRECEDING AND CURRENT ROW) - 1 AS h FROM sb WHERE trade_date <= DATE '2000-06-30'),
 l AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY trade_date DESC) = 1), d AS (SELECT sector, median(r5) AS ret_5d, median(r20) AS ret_20d, median(r60) AS ret_60d, median(h) AS pct_from_high, count(*) AS n FROM l GROUP BY 1 HAVING count(*) >= 3),
-e AS (SELECT *, (ret_60d - avg(ret_60d) OVER ()) / stddev_samp(ret_60d) OVER () + (pct_from_high - avg(pct_from_high) OVER ()) / stddev_samp(pct_from_high) OVER () AS heat, ret_5d - ret_20d / 4 AS accel FROM d),
-c AS (SELECT quantile_cont(heat, 0.66) AS hi, quantile_cont(heat, 0.33) AS lo FROM e), f AS (SELECT *, -0.6 * (heat - avg(heat) OVER ()) / stddev_samp(heat) OVER () + 0.4 * (accel - avg(accel) OVER ()) / stddev_samp(accel) OVER () AS rotation_score, CASE WHEN heat > hi THEN 'high' WHEN heat < lo THEN 'low' ELSE 'middle' END AS regime_tag FROM e, c)
+e AS (SELECT *, CASE WHEN stddev_samp(ret_60d) OVER () > 1e-12 THEN (ret_60d - avg(ret_60d) OVER ()) / stddev_samp(ret_60d) OVER () ELSE 0 END + CASE WHEN stddev_samp(pct_from_high) OVER () > 1e-12 THEN (pct_from_high - avg(pct_from_high) OVER ()) / stddev_samp(pct_from_high) OVER () ELSE 0 END AS heat, ret_5d - ret_20d / 4 AS accel FROM d),
+c AS (SELECT quantile_cont(heat, 0.66) AS hi, quantile_cont(heat, 0.33) AS lo FROM e), f AS (SELECT *, -0.6 * (CASE WHEN stddev_samp(heat) OVER () > 1e-12 THEN (heat - avg(heat) OVER ()) / stddev_samp(heat) OVER () ELSE 0 END) + 0.4 * (CASE WHEN stddev_samp(accel) OVER () > 1e-12 THEN (accel - avg(accel) OVER ()) / stddev_samp(accel) OVER () ELSE 0 END) AS rotation_score, CASE WHEN heat > hi THEN 'high' WHEN heat < lo THEN 'low' ELSE 'middle' END AS regime_tag FROM e, c)
 SELECT sector, n, {cells('ret_5d', 'ret_20d', 'ret_60d', 'pct_from_high', 'heat', 'accel', 'rotation_score')}, regime_tag, CASE WHEN regime_tag = 'low' AND accel > 0 THEN 'low_turning_in' WHEN regime_tag = 'high' AND accel < 0 THEN 'high_fading_out' ELSE 'watch' END AS rotation_tag FROM f""")
 def sector_heat(spark, root):
     return t(SE.sector_heat(with_sector(spark, root), "2000-06-30"), "ret_5d", "ret_20d", "ret_60d", "pct_from_high", "heat", "accel", "rotation_score")
@@ -147,7 +147,7 @@ def source_credibility(spark, root):
 SELECT lang, count(*) AS rows, count(DISTINCT source) AS confirming_sources, sum(p::INT)::BIGINT AS primary_confirmations, sum(r::INT)::BIGINT AS contradictions, count(*) - count(DISTINCT text) AS reposts, min((hour(seen) >= 15)::INT) = 1 AS after_close_only, round(avg(m::INT), 9) AS rumour_share, arg_min(source, rank) AS best_source, min(seen) AS first_seen, max(seen) AS last_seen FROM d GROUP BY lang""")
 def news_cross_validation(spark, root):
     d = table(spark, root, "documents").select(
-        "lang", "source", "text", F.timestamp_micros(F.lit(1704099600000000) + F.col("doc_id") * 7 * 60 * 1000000).alias("at"), F.substring("source", 4, 10).cast("int").alias("rank"))
+        "lang", "source", "text", F.timestamp_micros(F.lit(1704099600000000) + F.col("doc_id") * 7 * 60 * 1000000).alias("at"), F.expr("substring(source, 4)").cast("int").alias("rank"))
     out = EV.cross_validate(d, ["lang"], "source", "text", "at", "rank", F.col("source").isin("src1", "src2"), F.col("text").contains("not"), F.col("text").contains("?"))
     return out.withColumn("rumour_share", F.round("rumour_share", 9))
 
@@ -344,13 +344,13 @@ def winsorise_mad(spark, root):
 
 
 @query("winsorise_and_robust_z", f"""WITH {PANEL_SQL}, q AS (SELECT trade_date, quantile_cont(gap, 0.05) AS lo, quantile_cont(gap, 0.95) AS hi FROM panel GROUP BY 1), c AS (SELECT symbol, trade_date, least(greatest(gap, lo), hi) AS gap FROM panel JOIN q USING (trade_date)), m AS (SELECT trade_date, median(gap) AS med FROM c GROUP BY 1), d AS (SELECT trade_date, median(abs(gap - med)) AS mad FROM c JOIN m USING (trade_date) GROUP BY 1)
-SELECT symbol, trade_date, {tidy_sql("gap")} AS gap, CASE WHEN mad > 1e-9 THEN {tidy_sql("(gap - med) / (1.4826 * mad + 1e-12)")} END AS gap_rz FROM c JOIN m USING (trade_date) JOIN d USING (trade_date)""")
+SELECT symbol, trade_date, {tidy_sql("gap")} AS gap, {tidy_sql("(gap - med) / (1.4826 * mad + 1e-12)")} AS gap_rz FROM c JOIN m USING (trade_date) JOIN d USING (trade_date)""")
 def winsorise_and_robust_z(spark, root):
     from tickloom.operators.cross import robust_zscore, winsorise_quantile
 
     c = winsorise_quantile(factor_panel(spark, root).select("symbol", "trade_date", "gap"), ["gap"], ["trade_date"], 0.05, 0.95)
     z = robust_zscore(c, ["gap"], ["trade_date"])
-    return t(z, "gap").withColumn("gap_rz", F.when(F.abs("gap_rz") < 1e6, tidy(F.col("gap_rz"))))
+    return t(z, "gap", "gap_rz")
 
 
 @query("fill_by_sector_median", f"""WITH {PANEL_SQL}, {SECTORS_SQL}, j AS (SELECT p.symbol, trade_date, sector, CASE WHEN p.symbol % 4 = 1 THEN NULL ELSE gap END AS x FROM panel p JOIN sectors USING (symbol)), a AS (SELECT trade_date, sector, median(x) AS m FROM j GROUP BY ALL), b AS (SELECT trade_date, median(x) AS m FROM j GROUP BY ALL)

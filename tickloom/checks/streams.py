@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -15,6 +14,7 @@ from tickloom.checks.registry import query
 from tickloom.functions.columns import tidy
 from tickloom.operators import pit
 from tickloom.plans.inputs import BARS_SQL, PREDICTIONS_SQL, TICKS_SQL, bars, predictions, table, ticks, tidy_sql
+from tickloom.session import shared_folder
 from tickloom.sources import tables as TB
 from tickloom.streaming import events as ST
 
@@ -24,15 +24,13 @@ def t(df, *cols):
 
 
 def scratch(spark) -> str:
-    """A new folder for one run: below the cluster's shared folder, or a temporary one on a local master."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return f"{shared}/run-{os.urandom(8).hex()}"
-    return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    """A new folder for one run below the shared folder, which a cluster has to name."""
+    return f"{shared_folder(spark)}/run-{os.urandom(8).hex()}"
 
 
 def tick_stream(spark, root):
-    raw = ST.file_stream(spark, f"{root}/events*.parquet", schemas.EVENTS)
+    """The events table as a stream; the pattern names that one table, as a stream takes no plain file path."""
+    raw = ST.file_stream(spark, f"{root}/events.parque[t]", schemas.EVENTS)
     return raw.select(
         F.col("user_id").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), "event_id", "event_type",
         F.round(F.lit(100.0) + F.col("value") / 10.0, 4).alias("price"), F.col("value").alias("size"),

@@ -178,10 +178,10 @@ def fifo_matches(fills: DataFrame, order: list[str]) -> DataFrame:
     e = edge.select("symbol", "_to", F.when(F.col("side") == "buy", lot).alias("_b"), F.when(F.col("side") == "sell", lot).alias("_s"))
     cuts = e.groupBy("symbol", "_to").agg(F.max("_b").alias("_b"), F.max("_s").alias("_s"))
     o = Window.partitionBy("symbol").orderBy("_to")
-    ahead = o.rowsBetween(0, Window.unboundedFollowing)
+    ahead = Window.partitionBy("symbol").orderBy(F.desc("_to")).rowsBetween(Window.unboundedPreceding, 0)  # backwards, one pass
     pieces = cuts.withColumns({
         "_from": F.coalesce(F.lag("_to").over(o), F.lit(0.0)),
-        "_b": F.first("_b", ignorenulls=True).over(ahead), "_s": F.first("_s", ignorenulls=True).over(ahead),
+        "_b": F.last("_b", ignorenulls=True).over(ahead), "_s": F.last("_s", ignorenulls=True).over(ahead),
     })
     return pieces.where("_b is not null and _s is not null").select(
         "symbol", F.col("_b.at").alias("bought_at"), F.col("_s.at").alias("sold_at"),

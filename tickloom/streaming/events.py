@@ -71,11 +71,11 @@ def ordered_sink(events: DataFrame, out: str, late: str, checkpoint: str, time:
         frontier = None
         try:
             done = spark.read.parquet(out).where(F.col("batch_id") < batch_id)
-            frontier = done.agg(F.max(time)).first()[0]  # one value
+            frontier = done.agg(F.max(F.struct(*keys))).first()[0]  # one key
         except Exception as e:  # first batch: nothing written yet
             if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
                 raise
-        tagged = batch.withColumn("_late", F.lit(False) if frontier is None else F.col(time) < F.lit(frontier))
+        tagged = batch.withColumn("_late", F.lit(False) if frontier is None else F.struct(*keys) < F.struct(*(F.lit(frontier[k]).alias(k) for k in keys)))
         for flag, path in ((False, out), (True, late)):
             rows = tagged.where(F.col("_late") == flag).drop("_late")
             rows.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
@@ -85,15 +85,17 @@ def ordered_sink(events: DataFrame, out: str, late: str, checkpoint: str, time:
     return query
 
 
-def ordered_digest(events: DataFrame, order: list[str], ident: str, bucket: Column, chunk: int = 4096, levels: int = 4) -> DataFrame:
+def ordered_digest(events: DataFrame, order: list[str], ident: str, bucket: Column, chunk: int = 4096) -> DataFrame:
     """Digest of ids in total order, the same for any arrival order or partitioning.
 
     A plain chain is sequential. Here rows get their exact position, blocks of ``chunk`` ids are
-    hashed, then blocks of block hashes, level by level; every group is bounded by ``chunk``.
+    hashed, then blocks of block hashes, until one block is left; every group is bounded by ``chunk``.
     """
+    left = max(2, events.count())
     numbered = number_rows(events.withColumn("_all", F.lit(1)), ["_all"], order, bucket, "_i")
     level = numbered.select(F.col("_i").alias("_i"), F.col(ident).cast("string").alias("_h"))
-    for _ in range(levels):
+    while left > 1:
+        left = -(-left // chunk)
         level = level.groupBy(F.floor(F.col("_i") / chunk).cast("long").alias("_g")).agg(
             F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_h"))), lambda s: s["_h"]), ","), 256).alias("_h")
         ).withColumnRenamed("_g", "_i")
