@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame
 from tickloom.llm.common import widened
 
 BLANK = "▁"
-REMEMBERED = 200_000
+#: Stretches a task remembers at once; beyond, the memory is emptied and fills again with those in use.
+REMEMBERED = 500_000
 #: A piece's kind in the model file.
 NORMAL, BYTE = 1, 6
 
