@@ -265,11 +265,29 @@ def statement_metrics(spark, root):
     return t(FU.key_metrics(statements(spark, root)), *METRICS).select("symbol", "report_period", *METRICS)
 
 
-@query("piotroski_score", f"""WITH {STATEMENTS_SQL}, p AS (SELECT *, revenue - cost AS inc, lag(revenue) {FW} AS rev0, lag(revenue - cost) {FW} AS inc0, lag(assets) {FW} AS as0, lag(debt) {FW} AS d0 FROM statements),
-s AS (SELECT symbol, report_period, coalesce(inc / nullif(assets, 0) > 0, false)::INT + (cash > 0)::INT + coalesce(inc / nullif(assets, 0) > inc0 / nullif(as0, 0), false)::INT + (cash > inc)::INT + coalesce(debt / nullif(assets, 0) < d0 / nullif(as0, 0), false)::INT + coalesce(inc / nullif(revenue, 0) > inc0 / nullif(rev0, 0), false)::INT + coalesce(revenue / nullif(assets, 0) > rev0 / nullif(as0, 0), false)::INT AS f_score FROM p)
-SELECT symbol, report_period, f_score, {tidy_sql('f_score / 7.0 * 100')} AS f_score_100 FROM s""")
+def _report_columns():
+    """Statement columns under the names the scores ask for."""
+    rev, cost, cash, assets, debt, n = (F.col(c).cast("double") for c in ("revenue", "cost", "cash", "assets", "debt", "orders"))
+    return {
+        "net_income": rev - cost, "operating_cash_flow": cash, "roa": F.try_divide(rev - cost, assets), "leverage": F.try_divide(debt, assets), "current_ratio": F.try_divide(cash, debt), "shares": n,
+        "gross_margin": F.try_divide(rev - cost, rev), "asset_turnover": F.try_divide(rev, assets), "receivables": rev - cash, "revenue": rev, "sales": rev, "cogs": cost, "inventory": debt,
+        "total_assets": assets, "current_assets": cash / 4, "ppe": debt / 2, "depreciation": n, "sga": cost / 2, "capex": debt - cash, "short_term_debt": debt, "cash": cash,
+    }
+
+
+@query("piotroski_score", f"""WITH {STATEMENTS_SQL}, p AS (SELECT symbol, report_period, revenue - cost AS inc, cash, (revenue - cost) / nullif(assets, 0) AS roa, debt / nullif(assets, 0) AS lev, cash / nullif(debt, 0) AS cur, orders, (revenue - cost) / nullif(revenue, 0) AS gm, revenue / nullif(assets, 0) AS turn FROM statements),
+s AS (SELECT symbol, report_period, {' + '.join(f'coalesce({c}, false)::INT' for c in ('inc > 0', 'cash > 0', f'roa > lag(roa) {FW}', 'cash > inc', f'lev < lag(lev) {FW}', f'cur > lag(cur) {FW}', f'orders <= lag(orders) {FW}', f'gm > lag(gm) {FW}', f'turn > lag(turn) {FW}'))} AS f_score FROM p)
+SELECT symbol, report_period, f_score, {tidy_sql('f_score / 9.0 * 100')} AS f_score_100 FROM s""")
 def piotroski_score(spark, root):
-    return t(FU.piotroski(statements(spark, root)), "f_score_100").select("symbol", "report_period", "f_score", "f_score_100")
+    return t(FU.piotroski(statements(spark, root), _report_columns()), "f_score_100").select("symbol", "report_period", "f_score", "f_score_100")
+
+
+@query("beneish_m_score", f"""WITH {STATEMENTS_SQL}, b AS (SELECT symbol, report_period, revenue, assets, (revenue - cash) / nullif(revenue, 0) AS recv, (revenue - cost) / nullif(revenue, 0) AS gm, 1 - (cash / 4 + debt / 2) / nullif(assets, 0) AS soft, orders / nullif(orders + debt / 2, 0) AS wear, cost / 2 / nullif(revenue, 0) AS sga, debt / nullif(assets, 0) AS lev, (revenue - cost - cash) / nullif(assets, 0) AS tata FROM statements),
+m AS (SELECT symbol, report_period, CASE WHEN revenue > 0 AND lag(revenue) {FW} > 0 AND assets > 0 AND lag(assets) {FW} > 0 THEN -4.84 + 0.92 * (recv / nullif(lag(recv) {FW}, 0)) + 0.528 * (lag(gm) {FW} / nullif(gm, 0)) + 0.404 * (soft / nullif(lag(soft) {FW}, 0)) + 0.892 * (revenue / nullif(lag(revenue) {FW}, 0)) + 0.115 * (lag(wear) {FW} / nullif(wear, 0)) - 0.172 * (sga / nullif(lag(sga) {FW}, 0)) + 4.679 * tata - 0.327 * (lev / nullif(lag(lev) {FW}, 0)) END AS m_score FROM b)
+SELECT symbol, report_period, {cells('m_score')}, {tidy_sql("CASE WHEN m_score IS NULL THEN 50.0 WHEN m_score >= -1.78 THEN least(99.0, 70.0 + (m_score + 1.78) * 20.0) ELSE greatest(1.0, 50.0 + (m_score + 1.78) * 20.0) END")} AS fraud_percentile FROM m""")
+def beneish_m_score(spark, root):
+    m = FU.beneish_m(statements(spark, root), _report_columns())
+    return t(m.withColumn("fraud_percentile", FU.fraud_percentile(F.col("m_score"))), "m_score", "fraud_percentile").select("symbol", "report_period", "m_score", "fraud_percentile")
 
 
 @query("altman_z", f"""WITH {STATEMENTS_SQL} SELECT symbol, report_period, {tidy_sql("1.2 * (cash - debt) / assets + 1.4 * cash / assets + 3.3 * (revenue - cost) / assets + 0.6 * (assets - debt) / nullif(debt, 0) + revenue / assets")} AS z FROM statements""")
@@ -279,10 +297,18 @@ def altman(spark, root):
     return s.select("symbol", "report_period", tidy(z).alias("z"))
 
 
-@query("forensic_ratios", f"""WITH {STATEMENTS_SQL}, g AS (SELECT *, (revenue - lag(revenue) {FW}) / nullif(abs(lag(revenue) {FW}), 0) - (cash - lag(cash) {FW}) / nullif(abs(lag(cash) {FW}), 0) AS growth_gap, (revenue - cost - cash) / nullif(assets, 0) AS accrual_ratio FROM statements)
-SELECT symbol, report_period, {cells('growth_gap', 'accrual_ratio')}, {tidy_sql("0.5 * least(greatest(coalesce(growth_gap, 0), 0), 1) + 0.5 * least(greatest(coalesce(accrual_ratio, 0), 0), 1)")} AS fraud_risk FROM g""")
+def _all_rank(c):
+    tie = f"round_even({c} * 1e10, 0)"
+    return f"CASE WHEN {c} IS NOT NULL THEN (rank() OVER (ORDER BY {tie} NULLS LAST) + (count(*) OVER (PARTITION BY {tie}) - 1) / 2.0) / count({c}) OVER () END"
+
+
+@query("forensic_ratios", f"""WITH {STATEMENTS_SQL}, g AS (SELECT symbol, report_period, ((revenue - cash) / nullif(lag(revenue - cash) {FW}, 0) - 1) - (revenue / nullif(lag(revenue) {FW}, 0) - 1) AS receivable_gap, (debt / nullif(lag(debt) {FW}, 0) - 1) - (cost / nullif(lag(cost) {FW}, 0) - 1) AS inventory_gap,
+ (revenue - cost - cash) / nullif(assets, 0) AS accrual_ratio, -(cash / nullif(revenue - cost, 0)) AS cfo_shortfall, abs(debt - cash) / nullif(cash, 0) AS capex_pressure, 0.0::DOUBLE / nullif(assets, 0) AS goodwill_risk, debt / nullif(cash, 0) AS debt_pressure, NULL::DOUBLE AS related_party_risk FROM statements),
+r AS (SELECT *, {', '.join(f'{_all_rank(c)} AS p_{i}' for i, c in enumerate(FU.FORENSIC))} FROM g)
+SELECT symbol, report_period, {cells(*FU.FORENSIC)}, round(list_avg([{', '.join(f'p_{i}' for i in range(8))}]), 4) + 0.0 AS fraud_risk_composite FROM r""")
 def forensic_ratios(spark, root):
-    return t(FU.forensic(statements(spark, root)), "growth_gap", "accrual_ratio", "fraud_risk").select("symbol", "report_period", "growth_gap", "accrual_ratio", "fraud_risk")
+    out = t(FU.forensic(statements(spark, root), _report_columns()), *FU.FORENSIC)
+    return out.select("symbol", "report_period", *FU.FORENSIC, (F.round("fraud_risk_composite", 4) + F.lit(0.0)).alias("fraud_risk_composite"))
 
 
 def metrics_by_segment(spark, root):

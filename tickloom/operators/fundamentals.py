@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.columns import normal_cdf, ratio
-from tickloom.operators.cross import group_zscore, pct_rank, winsorise_quantile
+from tickloom.operators.cross import group_zscore, pct_rank, split_rank, winsorise_quantile
 
 
 def merge_statements(left: DataFrame, right: DataFrame, keys: list[str], coalesce: list[str], presence: str | None = None) -> DataFrame:
@@ -45,19 +45,58 @@ def key_metrics(df: DataFrame) -> DataFrame:
     })
 
 
-def piotroski(df: DataFrame, key: str = "symbol", order: str = "report_period") -> DataFrame:
-    """Count of improvements against the previous report; unknown comparisons count as no."""
+def piotroski(df: DataFrame, columns: dict[str, Column], key: str = "symbol", order: str = "report_period") -> DataFrame:
+    """Nine yes/no tests against the previous report; unknown comparisons count as no.
+
+    ``columns`` gives net_income, operating_cash_flow, roa, leverage, current_ratio, shares, gross_margin and
+    asset_turnover. The count is also mapped to 0-100.
+    """
     w = Window.partitionBy(key).orderBy(order)
-    cur = lambda c: F.col(c).cast("double")
-    old = lambda c: F.lag(cur(c)).over(w)
-    roa, roa0 = ratio(cur("revenue") - cur("cost"), cur("assets")), ratio(old("revenue") - old("cost"), old("assets"))
-    tests = [
-        roa > 0, cur("cash") > 0, roa > roa0, cur("cash") > cur("revenue") - cur("cost"),
-        ratio(cur("debt"), cur("assets")) < ratio(old("debt"), old("assets")), ratio(cur("revenue") - cur("cost"), cur("revenue")) > ratio(old("revenue") - old("cost"), old("revenue")),
-        ratio(cur("revenue"), cur("assets")) > ratio(old("revenue"), old("assets")),
-    ]
+    now = lambda c: columns[c].cast("double")
+    old = lambda c: F.lag(now(c)).over(w)
+    tests = [now("net_income") > 0, now("operating_cash_flow") > 0, now("operating_cash_flow") > now("net_income"), now("leverage") < old("leverage"), now("shares") <= old("shares")]
+    tests += [now(c) > old(c) for c in ("roa", "current_ratio", "gross_margin", "asset_turnover")]
     score = sum((F.coalesce(c, F.lit(False)).cast("int") for c in tests), F.lit(0))
-    return df.withColumns({"f_score": score, "f_score_100": score / F.lit(len(tests)) * 100})
+    return df.withColumn("f_score", score).withColumn("f_score_100", F.col("f_score") / F.lit(9.0) * 100)
+
+
+def beneish_m(df: DataFrame, columns: dict[str, Column], key: str = "symbol", order: str = "report_period") -> DataFrame:
+    """Eight-ratio manipulation score against the previous report, weights as published (1999).
+
+    ``columns`` gives receivables, sales, cogs, current_assets, ppe, total_assets, depreciation, sga, leverage,
+    net_income and operating_cash_flow. Without positive sales and assets in both reports, or with a zero base in any
+    ratio, there is no score.
+    """
+    w = Window.partitionBy(key).orderBy(order)
+    now = lambda c: columns[c].cast("double")
+    old = lambda c: F.lag(now(c)).over(w)
+
+    def pair(of) -> tuple[Column, Column]:
+        return of(now), of(old)
+
+    recv, recv0 = pair(lambda v: ratio(v("receivables"), v("sales")))
+    margin, margin0 = pair(lambda v: ratio(v("sales") - v("cogs"), v("sales")))
+    soft, soft0 = pair(lambda v: 1 - ratio(v("current_assets") + v("ppe"), v("total_assets")))
+    wear, wear0 = pair(lambda v: ratio(v("depreciation"), v("depreciation") + v("ppe")))
+    cost, cost0 = pair(lambda v: ratio(v("sga"), v("sales")))
+    parts = {
+        0.92: ratio(recv, recv0), 0.528: ratio(margin0, margin), 0.404: ratio(soft, soft0), 0.892: ratio(now("sales"), old("sales")), 0.115: ratio(wear0, wear),
+        -0.172: ratio(cost, cost0), 4.679: ratio(now("net_income") - now("operating_cash_flow"), now("total_assets")), -0.327: ratio(now("leverage"), old("leverage")),
+    }
+    score = sum((F.lit(weight) * part for weight, part in parts.items()), F.lit(-4.84))
+    ok = (now("sales") > 0) & (old("sales") > 0) & (now("total_assets") > 0) & (old("total_assets") > 0)
+    return df.withColumn("m_score", F.when(ok, score))
+
+
+def distress_percentile(z: Column) -> Column:
+    """Z score to 5-95, higher is more distressed; unknown is 50."""
+    return F.when(z.isNull(), 50.0).when(z >= 2.99, 5.0).when(z <= 1.81, 95.0).otherwise(95.0 - (z - 1.81) / (2.99 - 1.81) * 90.0)
+
+
+def fraud_percentile(m: Column) -> Column:
+    """M score to 1-99, higher is riskier, with the published threshold as the step; unknown is 50."""
+    reach = (m + 1.78) * 20.0
+    return F.when(m.isNull(), 50.0).when(m >= -1.78, F.least(F.lit(99.0), 70.0 + reach)).otherwise(F.greatest(F.lit(1.0), 50.0 + reach))
 
 
 def altman_z(working: Column, retained: Column, ebit: Column, equity: Column, debt: Column, sales: Column, assets: Column) -> Column:
@@ -65,13 +104,29 @@ def altman_z(working: Column, retained: Column, ebit: Column, equity: Column, de
     return 1.2 * ratio(working, assets) + 1.4 * ratio(retained, assets) + 3.3 * ratio(ebit, assets) + 0.6 * ratio(equity, debt) + 1.0 * ratio(sales, assets)
 
 
-def forensic(df: DataFrame, key: str = "symbol", order: str = "report_period") -> DataFrame:
-    """Receivable and cash growth gaps, accruals, and a weighted risk clipped to [0, 1]."""
-    g = report_growth(df, ["revenue", "cash"], key, order)
-    accrual = ratio(F.col("revenue") - F.col("cost") - F.col("cash"), F.col("assets"))
-    gap = F.col("revenue_qoq") - F.col("cash_qoq")
-    risk = 0.5 * F.least(F.greatest(F.coalesce(gap, F.lit(0.0)), F.lit(0.0)), F.lit(1.0)) + 0.5 * F.least(F.greatest(F.coalesce(accrual, F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
-    return g.withColumns({"growth_gap": gap, "accrual_ratio": accrual, "fraud_risk": risk})
+FORENSIC = ["receivable_gap", "inventory_gap", "accrual_ratio", "cfo_shortfall", "capex_pressure", "goodwill_risk", "debt_pressure", "related_party_risk"]
+
+
+def forensic(df: DataFrame, columns: dict[str, Column], key: str = "symbol", order: str = "report_period") -> DataFrame:
+    """Eight warning ratios and the mean of their percent ranks over all rows.
+
+    ``columns`` gives receivables, revenue, inventory, cogs, net_income, operating_cash_flow, total_assets, capex,
+    goodwill, short_term_debt, cash and related_party_amount; goodwill left out counts as zero, others as unknown.
+    Ranks cover the whole table, so they are split by value and no task holds it.
+    """
+    w = Window.partitionBy(key).orderBy(order)
+    now = lambda c: columns.get(c, F.lit(0.0 if c == "goodwill" else None)).cast("double")
+    grown = lambda c: ratio(now(c), F.lag(now(c)).over(w)) - 1
+    out = df.withColumns({
+        "receivable_gap": grown("receivables") - grown("revenue"), "inventory_gap": grown("inventory") - grown("cogs"),
+        "accrual_ratio": ratio(now("net_income") - now("operating_cash_flow"), now("total_assets")), "cfo_shortfall": -ratio(now("operating_cash_flow"), now("net_income")),
+        "capex_pressure": ratio(F.abs(now("capex")), now("operating_cash_flow")), "goodwill_risk": ratio(now("goodwill"), now("total_assets")),
+        "debt_pressure": ratio(now("short_term_debt"), now("cash")), "related_party_risk": ratio(now("related_party_amount"), now("revenue")),
+    })
+    ranked = split_rank(out, {f"_p_{c}": F.col(c) for c in FORENSIC}, [], [key, order])
+    shares = F.array_compact(F.array(*[F.col(f"_p_{c}") for c in FORENSIC]))
+    total = F.aggregate(shares, F.lit(0.0), lambda s, v: s + v)
+    return ranked.withColumn("fraud_risk_composite", ratio(total, F.size(shares))).drop(*[f"_p_{c}" for c in FORENSIC])
 
 
 def bucket_rank(df: DataFrame, axes: dict[str, tuple[float, int]], by: list[str]) -> DataFrame:
