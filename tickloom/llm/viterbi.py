@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame
 from tickloom.llm.common import widened
 
 BLANK = "▁"
-#: Stretches a task remembers at once; beyond, the memory is emptied and fills again with those in use.
+#: Stretches a Python worker remembers at once; beyond, the memory is emptied and fills again with those in use.
 REMEMBERED = 500_000
 #: A piece's kind in the model file.
 NORMAL, BYTE = 1, 6
@@ -59,20 +60,21 @@ class Vocabulary:
         Ties go to the longer last piece.
         """
         n, done = len(text), 0
+        trie, unknown, never = self.trie, self.unknown, float("-inf")
         score: dict[int, float] = {0: 0.0}
         back: dict[int, tuple[int, list[int]]] = {}
         for at in range(n):
             here = score[at]
-            node, end, single = self.trie, at, False
+            node, end, single = trie, at, False
             while end < n and (node := node.get(text[end])) is not None:
                 end += 1
                 if "" in node:
                     piece, gain = node[""]
                     single = single or end == at + 1
-                    if here + gain > score.get(end, -np.inf):
+                    if here + gain > score.get(end, never):
                         score[end], back[end] = here + gain, (at, [piece])
-            if not single and here + self.unknown > score.get(at + 1, -np.inf):
-                score[at + 1], back[at + 1] = here + self.unknown, (at, self.spell(text[at]))
+            if not single and here + unknown > score.get(at + 1, never):
+                score[at + 1], back[at + 1] = here + unknown, (at, self.spell(text[at]))
             if (at + 1) % 16 == 0 or at + 1 == n:
                 alive = [e for e in score if e > at]
                 meet = self.common(alive, back, done)
@@ -136,6 +138,12 @@ class Vocabulary:
         return text[1:] if self.prefix and text else text
 
 
+@lru_cache(maxsize=1)
+def loaded(model_path: str) -> Vocabulary:
+    """The vocabulary of this Python worker: read once, with the stretches it remembers, for all tasks it serves."""
+    return Vocabulary(model_path)
+
+
 def encoded(df: DataFrame, model_path: str, text: str = "text") -> DataFrame:
     """All columns but ``text``, with ``ids`` (array of int). Null and empty texts have no ids.
 
@@ -144,7 +152,7 @@ def encoded(df: DataFrame, model_path: str, text: str = "text") -> DataFrame:
     kept = [c for c in df.columns if c != text]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(model_path)
+        vocabulary = loaded(model_path)
         for batch in batches:
             for low in range(0, batch.num_rows, 500):
                 part = batch.slice(low, 500)
@@ -161,7 +169,7 @@ def decoded(df: DataFrame, model_path: str, ids: str = "ids") -> DataFrame:
     kept = [c for c in df.columns if c != ids]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(model_path)
+        vocabulary = loaded(model_path)
         for batch in batches:
             column = batch.column(0)
             raw = [column[i].values.to_numpy().astype("<u4").tobytes() if column[i].is_valid else b"" for i in range(batch.num_rows)]
