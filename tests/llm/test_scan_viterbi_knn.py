@@ -63,19 +63,9 @@ def test_planted_licenses(spark):
 
 def plain_viterbi(v, text):
     best, back = [0.0] + [-np.inf] * len(text), [None] * (len(text) + 1)
-    flat = {}
-
-    def walk(node, prefix):
-        for c, x in node.items():
-            if c == "":
-                flat[prefix] = x
-            else:
-                walk(x, prefix + c)
-
-    walk(v.trie, "")
     for end in range(1, len(text) + 1):
         for at in range(max(0, end - v.longest), end):
-            piece = flat.get(text[at:end])
+            piece = v.pieces.get(text[at:end])
             if piece is None and end == at + 1:
                 piece = (v.spell(text[at]), v.unknown)
             if piece is not None and best[at] + piece[1] > best[end]:
@@ -97,12 +87,13 @@ def test_viterbi_matches_plain_and_library():
     proto.trainer_spec.model_type = model_pb.TrainerSpec.UNIGRAM  # the library's own segmentation by summed scores
     library = sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
     rng = random.Random(3)
-    for text in TEXTS + ["".join(rng.choice("abcdehinorstuv  éñ日\n") for _ in range(rng.randrange(1, 90))) for _ in range(60)]:
-        ids = np.frombuffer(v.encode(text), dtype="<u4").tolist()
+    texts = TEXTS + ["".join(rng.choice("abcdehinorstuv  éñ日\n🙂▁") for _ in range(rng.randrange(1, 90))) for _ in range(60)] + ["a" * 64 + "\n" * 9, "é\x00" * 40 + " b"]
+    for text, raw in zip(texts, v.encode(texts)):
+        ids = np.frombuffer(raw, dtype="<u4").tolist()
         plain = ("▁" + text.replace(" ", "▁")) if text else ""
         assert ids == plain_viterbi(v, plain), repr(text)
         assert ids == [i for _, part in v.stream(plain) for i in part]
-        assert v.decode(v.encode(text)) == text.replace("▁", " ")
+        assert v.decode(raw) == text.replace("▁", " ")
         if "  " not in text and "▁" not in text and len(text) < 40:  # the library sums in single precision
             score = lambda x: sum(proto.pieces[i].score if proto.pieces[i].type == 1 else 0 for i in x)
             best = library.nbest_encode_as_ids(text, 2)[0] if text else []  # plain encode() prunes and misses the best one

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -13,14 +15,33 @@ from pyspark.sql import DataFrame
 from tickloom.llm.common import widened
 
 BLANK = "▁"
-#: Stretches a Python worker remembers at once; beyond, the memory is emptied and fills again with those in use.
+#: Stretches a Python worker remembers; beyond, the memory is emptied and fills again with those in use.
 REMEMBERED = 500_000
+NEVER = float("-inf")
+#: Characters of a stretch that is encoded side by side with others, and how many of them at once.
+SHORT, SIDE_BY_SIDE = 64, 8192
+#: Bits of a character's code in a trie edge; the id that stands for none. An unknown character's id is ``~code``.
+CODE, NONE = 21, -(1 << 31)
+#: Characters after which the paths are looked at for a boundary that they share.
+COMMIT = 16
+#: Blanks and what follows them up to the next blank.
+STRETCH = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 #: A piece's kind in the model file.
 NORMAL, BYTE = 1, 6
 
 
+class Remembered(dict):
+    """Ids of short stretches met before; those of others are made by ``ids``."""
+
+    def __init__(self, ids: Callable[[str], bytes]) -> None:
+        self.ids = ids
+
+    def __missing__(self, text: str) -> bytes:
+        return self.ids(text)
+
+
 class Vocabulary:
-    """Pieces and scores of a model file, as a trie of nested dicts (piece end: key "" holds (id, score))."""
+    """Pieces and scores of a model file: by text, and as a trie whose edges lie in one sorted array."""
 
     def __init__(self, path: str) -> None:
         from sentencepiece import sentencepiece_model_pb2 as model
@@ -36,17 +57,23 @@ class Vocabulary:
         usual = [p for p in proto.pieces if p.type == NORMAL]
         self.longest = max(len(p.piece) for p in usual)
         self.unknown = min(p.score for p in usual) - 10.0
-        self.trie: dict = {}
-        for i, p in enumerate(proto.pieces):
-            if p.type == NORMAL:
-                node = self.trie
-                for c in p.piece:
-                    node = node.setdefault(c, {})
-                node[""] = (i, p.score)
+        self.pieces = {p.piece: (i, p.score) for i, p in enumerate(proto.pieces) if p.type == NORMAL}
+        self.grow()
         #: No piece goes from another character into a blank, so the paths always meet before such a blank.
         self.meets = all(BLANK not in p.piece.lstrip(BLANK) for p in usual)
         self.shown = [bytes([int(p.piece[3:5], 16)]) if p.type == BYTE else p.piece.replace(BLANK, " ").encode() for p in proto.pieces]
-        self.seen: dict[str, bytes] = {}
+        self.seen = Remembered(self.ids)
+
+    def grow(self) -> None:
+        """The trie: edge (node, character) → node, and the piece and score of every node. Node 0 is the root."""
+        numbers = {"": 0}
+        for p in self.pieces:
+            for end in range(1, len(p) + 1):
+                numbers.setdefault(p[:end], len(numbers))
+        edges = sorted((numbers[p[:-1]] << CODE | ord(p[-1]), number) for p, number in numbers.items() if p)
+        self.edge, self.below = (np.array(c, dtype=np.int64) for c in zip(*edges))
+        told = [self.pieces.get(p, (~ord(p), self.unknown) if len(p) == 1 else (NONE, NEVER)) for p in numbers]
+        self.piece, self.gain = np.array([i for i, _ in told], dtype=np.int32), np.array([g for _, g in told])
 
     def spell(self, char: str) -> list[int]:
         return [self.bytes[b] for b in char.encode()]
@@ -59,78 +86,118 @@ class Vocabulary:
         what lies before it is committed and dropped. An unknown character costs ``unknown`` and is spelled in bytes.
         Ties go to the longer last piece.
         """
-        n, done = len(text), 0
-        trie, unknown, never = self.trie, self.unknown, float("-inf")
-        score: dict[int, float] = {0: 0.0}
-        back: dict[int, tuple[int, list[int]]] = {}
-        for at in range(n):
-            here = score[at]
-            node, end, single = trie, at, False
-            while end < n and (node := node.get(text[end])) is not None:
-                end += 1
-                if "" in node:
-                    piece, gain = node[""]
-                    single = single or end == at + 1
-                    if here + gain > score.get(end, never):
-                        score[end], back[end] = here + gain, (at, [piece])
-            if not single and here + unknown > score.get(at + 1, never):
-                score[at + 1], back[at + 1] = here + unknown, (at, self.spell(text[at]))
-            if (at + 1) % 16 == 0 or at + 1 == n:
-                alive = [e for e in score if e > at]
-                meet = self.common(alive, back, done)
-                if meet > done:
-                    ids: list[int] = []
-                    for part in reversed(list(self.path(meet, back, done))):
-                        ids += part
-                    yield meet, ids
-                    done = meet
-                score = {e: s for e, s in score.items() if e > at}
-                back = {e: b for e, b in back.items() if e > done}
-
-    @staticmethod
-    def path(end: int, back: dict, done: int) -> Iterator[list[int]]:
-        while end > done:
-            end, ids = back[end]
-            yield ids
+        n, done, pieces, stranger = len(text), 0, self.pieces, (NONE, self.unknown)
+        #: By place since the last commit: best score, and where the last step of the best path starts.
+        score, start = [0.0], [0]
+        for low in range(0, n, COMMIT):
+            high = min(low + COMMIT, n)
+            room = high + self.longest + 1 - done - len(score)
+            score += [NEVER] * room
+            start += [0] * room
+            for at in range(low, high):
+                here = at - done
+                for end in range(at + 1, min(at + self.longest, n) + 1):
+                    found = pieces.get(text[at:end]) or (stranger if end == at + 1 else None)
+                    if found and score[here] + found[1] > score[end - done]:
+                        score[end - done], start[end - done] = score[here] + found[1], here
+            meet = self.common([e for e in range(high - done, len(score)) if score[e] > NEVER], start) if high < n else n - done
+            if meet:
+                yield done + meet, self.path(text[done : done + meet], start)
+                done += meet
+                del score[:meet]
+                start = [s - meet for s in start[meet:]]
+
+    def path(self, text: str, start: list[int]) -> list[int]:
+        """Ids of the best path over ``text``, which begins at the last commit."""
+        ids: list[int] = []
+        end = len(text)
+        while end:
+            low = start[end]
+            found = self.pieces.get(text[low:end])
+            ids += [found[0]] if found else reversed(self.spell(text[low:end]))
+            end = low
+        ids.reverse()
+        return ids
 
     @staticmethod
-    def common(alive: list[int], back: dict, done: int) -> int:
+    def common(alive: list[int], start: list[int]) -> int:
         """The last boundary that the paths of all living states share: the highest one steps back until all are equal."""
         states = set(alive)
         while len(states) > 1:
             top = max(states)
             states.remove(top)
-            states.add(back[top][0] if top > done else done)
-        return states.pop() if states else done
-
-    def word(self, text: str) -> bytes:
-        found = self.seen.get(text)
-        if found is None:
-            found = np.array([i for _, ids in self.stream(text) for i in ids], dtype="<u4").tobytes()
-            if len(self.seen) >= REMEMBERED:
-                self.seen.clear()
-            if len(text) <= 64:
-                self.seen[text] = found
-        return found
-
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit bytes. Where no piece crosses a boundary between a blank and what comes
-        before it, the paths meet there, so the stretches between such boundaries are encoded, and remembered, alone."""
-        if not text:
-            return b""
-        plain = (BLANK if self.prefix else "") + text.replace(" ", BLANK)
+            states.add(start[top])
+        return states.pop()
+
+    def ids(self, text: str) -> bytes:
+        ids = [i for _, part in self.stream(text) for i in part]
+        return pack(f"<{len(ids)}I", *ids)
+
+    def short(self, stretches: list[str]) -> Iterator[bytes]:
+        """Ids of stretches of at most ``SHORT`` characters, which go through the same search side by side: one array
+        operation makes one step of all of them. Their ends are where all their paths meet."""
+        lengths = np.array([len(s) for s in stretches])
+        order = np.argsort(-lengths, kind="stable")
+        lengths = lengths[order]
+        most, count = int(lengths[0]), len(stretches)
+        chars = np.zeros((count, most), dtype=np.int64)
+        chars[np.arange(most) < lengths[:, None]] = np.frombuffer("".join(stretches[i] for i in order).encode("utf-32-le"), dtype="<u4")
+        chars = np.ascontiguousarray(chars.T)
+        longer = [int((lengths > at).sum()) for at in range(most)]
+        score = np.full((most + 1, count), NEVER)
+        score[0] = 0.0
+        start, last = np.zeros((most + 1, count), dtype=np.int64), np.full((most + 1, count), NONE, dtype=np.int32)
+        for at in range(most):
+            rows, node = np.arange(longer[at]), np.zeros(longer[at], dtype=np.int64)
+            for end in range(at + 1, min(at + self.longest, most) + 1):
+                fit = int(np.searchsorted(rows, longer[end - 1]))
+                rows, key = rows[:fit], node[:fit] << CODE | chars[end - 1, rows[:fit]]
+                place = np.minimum(np.searchsorted(self.edge, key), len(self.edge) - 1)
+                known = self.edge[place] == key
+                if end == at + 1:
+                    strange = rows[~known]
+                    strange = strange[score[at, strange] + self.unknown > score[end, strange]]
+                    score[end, strange], start[end, strange], last[end, strange] = score[at, strange] + self.unknown, at, ~chars[at, strange]
+                rows, node = rows[known], self.below[place[known]]
+                if not len(rows):
+                    break
+                sums = score[at, rows] + self.gain[node]
+                better = sums > score[end, rows]
+                won = rows[better]
+                score[end, won], start[end, won], last[end, won] = sums[better], at, self.piece[node[better]]
+        ids = np.full((count, most), NONE, dtype=np.int32)
+        rows, ends, step = np.arange(count), lengths, most
+        while len(rows):
+            step -= 1
+            ids[rows, step] = last[ends, rows]
+            ends = start[ends, rows]
+            rows, ends = rows[ends > 0], ends[ends > 0]
+        used = ids != NONE
+        strange = ((ids < 0) & used).any(axis=1)
+        blob, limits = ids[used].astype("<u4").tobytes(), 4 * np.cumsum([0, *used.sum(axis=1)])
+        place = np.argsort(order)
+        for i in place.tolist():
+            if strange[i]:
+                told = [x for id in ids[i][used[i]].tolist() for x in ([id] if id >= 0 else self.spell(chr(~id)))]
+                yield pack(f"<{len(told)}I", *told)
+            else:
+                yield blob[limits[i] : limits[i + 1]]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of every text as little-endian unsigned 32-bit bytes. Where no piece crosses a boundary between a blank and
+        what comes before it, the paths meet there, so the stretches between such boundaries are encoded, and remembered,
+        alone; those longer than ``SHORT`` go through ``stream``."""
+        plain = [(BLANK if self.prefix else "") + t.replace(" ", BLANK) if t else "" for t in texts]
         if not self.meets:
-            return self.word(plain)
-        parts = plain.split(BLANK)
-        out, run = [self.word(parts[0])] if parts[0] else [], ""
-        for part in parts[1:]:
-            run += BLANK
-            if part:
-                out.append(self.word(run + part))
-                run = ""
-        if run:
-            out.append(self.word(run))
-        return b"".join(out)
+            return [self.ids(p) for p in plain]
+        if len(self.seen) > REMEMBERED:
+            self.seen.clear()
+        cut = [STRETCH.findall(p) for p in plain]
+        fresh = [s for s in set().union(*cut).difference(self.seen) if len(s) <= SHORT]
+        for low in range(0, len(fresh), SIDE_BY_SIDE):
+            block = fresh[low : low + SIDE_BY_SIDE]
+            self.seen.update(zip(block, self.short(block)))
+        return [b"".join(map(self.seen.__getitem__, parts)) for parts in cut]
 
     def decode(self, ids: bytes) -> str:
         """The text of ``ids``. Runs of byte pieces become characters again; blanks become spaces."""
@@ -156,7 +223,7 @@ def encoded(df: DataFrame, model_path: str, text: str = "text") -> DataFrame:
         for batch in batches:
             for low in range(0, batch.num_rows, 500):
                 part = batch.slice(low, 500)
-                ids = [vocabulary.encode(t.as_py() or "") for t in part.column(0)]
+                ids = vocabulary.encode([t or "" for t in part.column(0).to_pylist()])
                 ends = np.cumsum([0, *(len(i) // 4 for i in ids)]).astype(np.int32)
                 values = pa.array(np.frombuffer(b"".join(ids), dtype="<i4"))
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.ListArray.from_arrays(pa.array(ends), values)], names=[*kept, "ids"])
