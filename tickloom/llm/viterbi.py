@@ -16,7 +16,7 @@ from tickloom.llm.common import widened
 
 BLANK = "▁"
 #: Stretches a Python worker remembers; beyond, the memory is emptied and fills again with those in use.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 NEVER = float("-inf")
 #: Characters of a stretch that is encoded side by side with others, and how many of them at once.
 SHORT, SIDE_BY_SIDE = 64, 8192
@@ -211,6 +211,13 @@ def loaded(model_path: str) -> Vocabulary:
     return Vocabulary(model_path)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 200) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of few rows, so that only these rows' texts and ids are Python objects at one time."""
+    for batch in batches:
+        for low in range(0, batch.num_rows, rows):
+            yield batch.slice(low, rows)
+
+
 def encoded(df: DataFrame, model_path: str, text: str = "text") -> DataFrame:
     """All columns but ``text``, with ``ids`` (array of int). Null and empty texts have no ids.
 
@@ -220,13 +227,11 @@ def encoded(df: DataFrame, model_path: str, text: str = "text") -> DataFrame:
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = loaded(model_path)
-        for batch in batches:
-            for low in range(0, batch.num_rows, 500):
-                part = batch.slice(low, 500)
-                ids = vocabulary.encode([t or "" for t in part.column(0).to_pylist()])
-                ends = np.cumsum([0, *(len(i) // 4 for i in ids)]).astype(np.int32)
-                values = pa.array(np.frombuffer(b"".join(ids), dtype="<i4"))
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.ListArray.from_arrays(pa.array(ends), values)], names=[*kept, "ids"])
+        for part in slices(batches):
+            ids = vocabulary.encode([t or "" for t in part.column(0).to_pylist()])
+            ends = np.cumsum([0, *(len(i) // 4 for i in ids)]).astype(np.int32)
+            values = pa.array(np.frombuffer(b"".join(ids), dtype="<i4"))
+            yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.ListArray.from_arrays(pa.array(ends), values)], names=[*kept, "ids"])
 
     return df.select(text, *kept).mapInArrow(task, widened(df.select(*kept), "ids array<int>"))
 
@@ -237,7 +242,7 @@ def decoded(df: DataFrame, model_path: str, ids: str = "ids") -> DataFrame:
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = loaded(model_path)
-        for batch in batches:
+        for batch in slices(batches):
             column = batch.column(0)
             raw = [column[i].values.to_numpy().astype("<u4").tobytes() if column[i].is_valid else b"" for i in range(batch.num_rows)]
             added = [pa.array([vocabulary.decode(r) for r in raw]), pa.array([len(r) // 4 for r in raw], pa.int64()), pa.array([zlib.crc32(r) for r in raw], pa.int64())]
