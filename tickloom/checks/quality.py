@@ -101,9 +101,10 @@ def panel_reconcile(spark, root):
     return reconciled(spark, root).groupBy("field", "outcome").agg(F.count(F.lit(1)).alias("rows"))
 
 
-@query("patch_proposals", f"""WITH {OTHER_SQL} SELECT symbol, trade_date, 'close' AS field, CASE WHEN no_l THEN 'APPROVED_FILL' ELSE 'KEEP_PRIMARY' END AS decision FROM j WHERE no_l OR no_r OR adj""")
+@query("patch_proposals", f"""WITH {OTHER_SQL} SELECT symbol, trade_date, field, CASE WHEN no_l THEN 'APPROVED_FILL' ELSE 'KEEP_PRIMARY' END AS decision
+FROM j, (SELECT unnest(['open', 'high', 'low', 'close', 'volume']) AS field) WHERE no_l OR no_r OR CASE WHEN field = 'volume' THEN lot ELSE adj END""")
 def patch_proposals(spark, root):
-    return Q.fill_patches(reconciled(spark, root).where("field = 'close'")).select("symbol", "trade_date", "field", "decision")
+    return Q.fill_patches(reconciled(spark, root)).select("symbol", "trade_date", "field", "decision")
 
 
 PHASE_SQL = """CASE WHEN m >= 555 AND m < 565 THEN 'opening_auction' WHEN m >= 565 AND m < 570 THEN 'pre_open' WHEN m >= 570 AND m < 690 THEN 'morning' WHEN m >= 690 AND m < 780 THEN 'lunch'

@@ -347,7 +347,10 @@ def dcf_and_peg(spark, root):
     return s.select("symbol", "report_period", tidy(FU.dcf_value(F.col("cash"), F.lit(0.05), F.lit(0.1))).alias("value"), tidy(value).alias("peg"), band.alias("band"))
 
 
-@query("reverse_dcf")
+@query("reverse_dcf", f"""WITH RECURSIVE {STATEMENTS_SQL}, b AS (SELECT symbol, report_period, cash AS c, assets * 10 AS price, 0 AS step, -0.5::DOUBLE AS low, 1.0::DOUBLE AS high FROM statements
+UNION ALL SELECT symbol, report_period, c, price, step + 1, CASE WHEN cheap THEN g ELSE low END, CASE WHEN cheap THEN high ELSE g END
+FROM (SELECT *, list_sum(list_transform([1, 2, 3, 4, 5], lambda k: c * pow(1 + g, k) / pow(1.1, k))) + c * pow(1 + g, 5) * 1.02 / 0.08 / pow(1.1, 5) < price AS cheap FROM (SELECT *, (low + high) / 2 AS g FROM b WHERE step < 60)))
+SELECT symbol, report_period, CASE WHEN c > 0 THEN round((low + high) / 2, 6) END AS implied_growth FROM b WHERE step = 60""")
 def reverse_dcf(spark, root):
     s = statements(spark, root)
     return s.select("symbol", "report_period", F.round(FU.reverse_dcf(F.col("assets") * 10, F.col("cash"), F.lit(0.1)), 6).alias("implied_growth"))

@@ -74,7 +74,13 @@ def frontier_visibility(spark, root):
     return ST.visible_at(e, F.lit("2024-01-15 12:00:00").cast("timestamp")).select("event_id")
 
 
-@query("ordered_digest")
+DIGEST_SQL = f"""WITH {TICKS_SQL}, h0 AS (SELECT row_number() OVER (ORDER BY ts, event_id) - 1 AS i, event_id::VARCHAR AS h FROM ticks),
+h1 AS (SELECT i // 512 AS i, sha256(string_agg(h, ',' ORDER BY h0.i)) AS h FROM h0 GROUP BY h0.i // 512)""" + "".join(
+    f", h{n} AS (SELECT i // 512 AS i, CASE WHEN (SELECT count(*) FROM h{n - 1}) > 1 THEN sha256(string_agg(h, ',' ORDER BY h{n - 1}.i)) ELSE min(h) END AS h FROM h{n - 1} GROUP BY h{n - 1}.i // 512)" for n in range(2, 7)
+) + " SELECT h AS digest FROM h6"
+
+
+@query("ordered_digest", DIGEST_SQL)
 def ordered_digest(spark, root):
     return ST.ordered_digest(ticks(spark, root), ["ts", "event_id"], "event_id", F.date_trunc("hour", F.col("ts")), chunk=512)
 

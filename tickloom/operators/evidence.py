@@ -32,7 +32,7 @@ def cross_validate(news: DataFrame, keys: list[str], source: str, body: str, at:
     into a third of all rows meets only as counts.
     """
     tagged = news.withColumns({
-        "_hash": F.xxhash64(body), "_p": primary.cast("int"), "_r": refuted.cast("int"), "_m": rumour.cast("int"), "_late": (F.hour(at) >= 15).cast("int"),
+        "_hash": F.coalesce(F.sha2(body, 256), F.lit("")), "_p": primary.cast("int"), "_r": refuted.cast("int"), "_m": rumour.cast("int"), "_late": (F.hour(at) >= 15).cast("int"),
     })
     per_body = tagged.groupBy(*keys, "_hash", source, rank).agg(
         F.count(F.lit(1)).alias("_n"), F.sum("_p").alias("_p"), F.sum("_r").alias("_r"), F.sum("_m").alias("_m"), F.sum("_late").alias("_late"), F.min(at).alias("_a"), F.max(at).alias("_z")
