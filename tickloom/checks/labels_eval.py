@@ -376,9 +376,14 @@ def covariance_ewma(spark, root):
     return t(ST.covariance_pairs(r, "lam", "trade_date", "ret", span=60), "cov")
 
 
-@query("covariance_ledoit_wolf")
+@query("covariance_ledoit_wolf", f"""WITH {RET_SQL}, o AS (SELECT lam, trade_date, ret FROM rets WHERE ret IS NOT NULL AND trade_date IN (SELECT trade_date FROM rets WHERE ret IS NOT NULL GROUP BY 1 HAVING count(*) = (SELECT count(DISTINCT lam) FROM rets))),
+c AS (SELECT lam, trade_date, ret - avg(ret) OVER (PARTITION BY lam) AS x FROM o),
+m AS (SELECT a.lam AS i, b.lam AS j, count(*) AS n, avg(a.x * b.x) AS s, avg(pow(a.x * b.x, 2)) AS q, avg(pow(a.x, 3) * b.x) AS c3, avg(a.x * a.x) AS vi, avg(b.x * b.x) AS vj FROM c a JOIN c b USING (trade_date) GROUP BY ALL),
+r AS (SELECT avg(s / sqrt(vi * vj)) AS r FROM m WHERE i <> j), g AS (SELECT *, CASE WHEN i = j THEN vi ELSE r * sqrt(vi * vj) END AS t, q - s * s AS phi FROM m, r),
+d AS (SELECT greatest(0, least(1, (sum(phi) - sum(CASE WHEN i = j THEN phi ELSE r * sqrt(vj / vi) * (c3 - vi * s) END)) / sum(pow(t - s, 2)) / max(n))) AS k FROM g)
+SELECT i AS "left", j AS "right", {tidy_sql("k * t + (1 - k) * s")} AS cov, {tidy_sql("k")} AS shrinkage FROM g, d""")
 def covariance_ledoit_wolf(spark, root):
-    return ST.ledoit_wolf(cut_lineage(book_returns(spark, root)), "lam", "trade_date", "ret")
+    return t(ST.ledoit_wolf(cut_lineage(book_returns(spark, root)), "lam", "trade_date", "ret"), "cov", "shrinkage")
 
 
 @query("pareto_front", f"""WITH {RET_SQL}, c AS (SELECT symbol, round(avg(ret), 8) AS gain, round(stddev_samp(ret), 8) AS risk FROM panel WHERE ret IS NOT NULL GROUP BY symbol)
