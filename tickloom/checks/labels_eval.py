@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tickloom.checks.panels import PANEL_SQL, factor_panel, rk
+from tickloom.checks.normal_sql import normal_sql
 from tickloom.checks.registry import query
 from tickloom.functions.columns import tidy
 from tickloom.operators import evaluate as E
@@ -335,9 +336,17 @@ def value_at_risk(spark, root):
     return t(ST.value_at_risk(book_returns(spark, root), ["lam"]), "var", "cvar", "normal_var")
 
 
-@query("probabilistic_sharpe")
+@query("probabilistic_sharpe", f"""WITH RECURSIVE {RET_SQL}, m AS (SELECT lam, count(*) AS n, avg(ret) AS mean, stddev_samp(ret) AS sd, coalesce(skewness(ret), 0) AS skew, coalesce(kurtosis(ret), 0) AS kurt FROM rets WHERE ret IS NOT NULL GROUP BY lam),
+s AS (SELECT *, mean / sd AS sr, sqrt(n - 1) / sqrt(greatest(1 - skew * mean / sd + (kurt + 2) / 4 * pow(mean / sd, 2), 1e-12)) AS f FROM m),
+g AS (SELECT var_samp(sr) AS v, count(*) AS k FROM s WHERE sd > 0),
+i AS (SELECT unnest([1 - 1 / k, 1 - 1 / (k * exp(1))]) AS p, unnest([1, 2]) AS which, -10::DOUBLE AS low, 10::DOUBLE AS high, 0 AS step FROM g
+UNION ALL SELECT p, which, CASE WHEN below THEN x ELSE low END, CASE WHEN below THEN high ELSE x END, step + 1 FROM (SELECT *, {normal_sql('x')} < p AS below FROM (SELECT *, (low + high) / 2 AS x FROM i WHERE step < 70))),
+b AS (SELECT CASE WHEN max(k) >= 2 AND max(v) > 0 THEN sqrt(max(v)) * sum(CASE which WHEN 1 THEN 1 - 0.5772156649015329 ELSE 0.5772156649015329 END * (low + high) / 2) END AS best FROM i, g WHERE step = 70),
+z AS (SELECT *, sr * f AS z0, (sr - best) * f AS z1 FROM s, b)
+SELECT lam, n, {tidy_sql('sr')} AS sr, {tidy_sql('skew')} AS skew, {tidy_sql('kurt')} AS kurt, {tidy_sql(f"CASE WHEN n < 4 THEN NULL WHEN sd <= 1e-12 THEN (mean > 0)::INT::DOUBLE ELSE {normal_sql('z0')} END")} AS psr, {tidy_sql(f"CASE WHEN n >= 4 AND best IS NOT NULL THEN {normal_sql('z1')} END")} AS dsr FROM z""")
 def probabilistic_sharpe(spark, root):
-    return ST.deflated_sharpe(cut_lineage(book_returns(spark, root)), ["lam"]).select("lam", "n", "sr", "skew", "kurt", "psr", "dsr")
+    out = ST.deflated_sharpe(cut_lineage(book_returns(spark, root)), ["lam"])
+    return t(out, "sr", "skew", "kurt", "psr", "dsr").select("lam", "n", "sr", "skew", "kurt", "psr", "dsr")
 
 
 @query("capm_beta_capture", f"""WITH {RET_SQL}

@@ -6,8 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tickloom.checks.panels import PANEL_SQL, factor_panel
+from tickloom.checks.normal_sql import normal_sql
 from tickloom.checks.registry import query
-from tickloom.functions.columns import _CDF_LOW, _CDF_TOP, tidy
+from tickloom.functions.columns import tidy
 from tickloom.operators import evidence as EV
 from tickloom.operators import flows as FL
 from tickloom.operators import fundamentals as FU
@@ -331,26 +332,10 @@ def bucket_fundamental_rank(spark, root):
     return t(out, "roe_rank", "debt_to_asset_rank", "composite").select("symbol", "report_period", "roe_rank", "debt_to_asset_rank", "composite")
 
 
-def _horner(coef, x):
-    out = repr(coef[0])
-    for c in coef[1:]:
-        out = f"({out} * {x} + {c!r})"
-    return out
-
-
-def _normal(z):
-    """Φ of a column in SQL, from the same fixed coefficients."""
-    a = f"abs({z})"
-    near = f"{_horner(_CDF_TOP, a)} / {_horner(_CDF_LOW, a)}"
-    far = f"1 / ({a} + 1 / ({a} + 2 / ({a} + 3 / ({a} + 4 / ({a} + 0.65))))) / sqrt(2 * pi())"
-    tail = f"exp(-{z} * {z} / 2) * CASE WHEN {a} < 7.07106781186547 THEN {near} ELSE {far} END"
-    return f"CASE WHEN {z} > 0 THEN 1 - {tail} ELSE {tail} END"
-
-
 @query("normal_fundamental_axes", f"""WITH {SEG_SQL}, q AS (SELECT report_period, bucket, quantile_cont(roe, 0.01) AS al, quantile_cont(roe, 0.99) AS ah, quantile_cont(debt_to_asset, 0.01) AS bl, quantile_cont(debt_to_asset, 0.99) AS bh FROM seg GROUP BY ALL),
 k AS (SELECT symbol, report_period, bucket, CASE WHEN roe IS NOT NULL THEN least(greatest(roe, al), ah) END AS a, CASE WHEN debt_to_asset IS NOT NULL THEN least(greatest(debt_to_asset, bl), bh) END AS b FROM seg JOIN q USING (report_period, bucket)),
 z AS (SELECT symbol, report_period, CASE WHEN stddev_pop(a) OVER w > 1e-12 THEN (a - avg(a) OVER w) / stddev_pop(a) OVER w END AS za, CASE WHEN stddev_pop(b) OVER w > 1e-12 THEN (b - avg(b) OVER w) / stddev_pop(b) OVER w END AS zb FROM k WINDOW w AS (PARTITION BY report_period, bucket)),
-p AS (SELECT symbol, report_period, CASE WHEN za IS NOT NULL THEN {_normal('za')} END AS a, CASE WHEN zb IS NOT NULL THEN 1 - ({_normal('zb')}) END AS b FROM z)
+p AS (SELECT symbol, report_period, CASE WHEN za IS NOT NULL THEN {normal_sql('za')} END AS a, CASE WHEN zb IS NOT NULL THEN 1 - ({normal_sql('zb')}) END AS b FROM z)
 SELECT symbol, report_period, round((0.6 * coalesce(a, 0) + 0.4 * coalesce(b, 0)) / nullif(0.6 * (a IS NOT NULL)::INT + 0.4 * (b IS NOT NULL)::INT, 0), 6) AS composite FROM p""")
 def normal_fundamental_axes(spark, root):
     out = FU.normal_axes(metrics_by_segment(spark, root), {"roe": (0.6, 1), "debt_to_asset": (0.4, -1)}, ["report_period", "bucket"])
