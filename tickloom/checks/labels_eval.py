@@ -357,7 +357,12 @@ def capm_beta_capture(spark, root):
     return t(ST.capm(book_returns(spark, root), ["lam"]), "beta", "alpha", "r2", "up_capture", "down_capture")
 
 
-@query("overfitting_probability")
+@query("overfitting_probability", f"""WITH {RET_SQL}, i AS (SELECT lam, ret, row_number() OVER (PARTITION BY lam ORDER BY trade_date) - 1 AS i, count(*) OVER (PARTITION BY lam) // 8 AS size FROM rets),
+c AS (SELECT lam, i // size AS chunk, avg(ret) AS m FROM i WHERE i // size < 8 GROUP BY ALL),
+s AS (SELECT mask, lam, avg(m) FILTER ((mask >> chunk) & 1 = 1) AS inside, avg(m) FILTER ((mask >> chunk) & 1 = 0) AS outside FROM c, (SELECT unnest(range(256)) AS mask) WHERE bit_count(mask) = 4 GROUP BY ALL),
+r AS (SELECT mask, inside, count(*) OVER (PARTITION BY mask) AS k, rank() OVER (PARTITION BY mask ORDER BY outside) + (count(*) OVER (PARTITION BY mask, outside) - 1) / 2 AS place FROM s),
+b AS (SELECT least(greatest((place - 1) / (k - 1), 1 / (k + 1)), 1 - 1 / (k + 1)) AS share FROM r QUALIFY row_number() OVER (PARTITION BY mask ORDER BY round(inside, 12) DESC, place) = 1)
+SELECT count(*) AS splits, avg((share < 0.5)::INT) AS pbo FROM b""")
 def overfitting_probability(spark, root):
     return ST.overfitting_probability(book_returns(spark, root), "lam", "trade_date", "ret", 8)
 
