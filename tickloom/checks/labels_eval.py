@@ -268,10 +268,16 @@ def factor_screening(spark, root):
     return t(E.screen(s, {"mean_ic": (">=", 0.0), "positive_ratio": (">=", 0.5)}), "mean_ic").select("factor_name", "mean_ic", "failed")
 
 
-@query("correlation_clusters")
+NAMES = [*FACTORS, "ret"]
+
+
+@query("correlation_clusters", f"""WITH RECURSIVE {PANEL_SQL}, r AS (SELECT {', '.join(f"CASE WHEN {c} IS NOT NULL THEN ({rk(c + ' ', 'trade_date, ' + c + ' IS NULL')}) / count({c}) OVER (PARTITION BY trade_date) END AS {c}" for c in NAMES)} FROM panel),
+e AS ({" UNION ALL ".join(f"SELECT '{a}' AS l, '{b}' AS r, corr({a}, {b}) AS c FROM r" for a in NAMES for b in NAMES if a != b)}),
+reach AS (SELECT unnest({NAMES}) AS factor, unnest({NAMES}) AS other UNION SELECT factor, e.r FROM reach JOIN e ON e.l = other WHERE abs(c) >= 0.3)
+SELECT factor, min(other) AS cluster FROM reach GROUP BY factor""")
 def correlation_clusters(spark, root):
-    pairs = E.correlation_pairs(factor_panel(spark, root), [*FACTORS, "ret"], "spearman")
-    return E.correlation_clusters(pairs, [*FACTORS, "ret"], 0.3)
+    pairs = E.correlation_pairs(factor_panel(spark, root), NAMES, "spearman")
+    return E.correlation_clusters(pairs, NAMES, 0.3)
 
 
 @query("stratified_ic", f"""WITH {PANEL_SQL}, {SECTORS_SQL},
