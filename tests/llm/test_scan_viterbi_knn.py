@@ -61,6 +61,24 @@ def test_planted_licenses(spark):
     assert licenses.license_spans(df.limit(0), queries.LICENSES).count() == 0
 
 
+def test_every_license_span(spark):
+    mit, nc, text = queries.LICENSES["MIT notice"], queries.LICENSES["CC-BY-NC-4.0 notice"], queries.LICENSES["MIT"]
+    n = len(licenses.words_of(text))
+    short = text.rsplit(" ", 1)[0]  # its last word is missing: none of the next copy may stand in for it
+    rows = [
+        (1, f"{mit} Some words.\n{nc}"), (2, " ".join([mit] * 3)), (3, f"{nc} {mit} {nc}"), (4, f"x {text} {text}"), (5, f"{short} {text}"), (6, "nothing"), (7, None),
+        (8, "\n".join([mit, "lorem ipsum"] * 500)),
+    ]
+    want = {
+        1: [("MIT notice", 0, 4), ("CC-BY-NC-4.0 notice", 7, 13)], 2: [("MIT notice", i, i + 4) for i in (0, 5, 10)],
+        3: [("CC-BY-NC-4.0 notice", 0, 6), ("MIT notice", 7, 11), ("CC-BY-NC-4.0 notice", 12, 18)], 4: [("MIT", 1, n), ("MIT", n + 1, 2 * n)],
+        5: [("MIT", 0, n - 2), ("MIT", n - 1, 2 * n - 2)], 6: [], 7: [], 8: [("MIT notice", 7 * i, 7 * i + 4) for i in range(500)],
+    }
+    for r in licenses.license_spans(spark.createDataFrame(rows, "doc_id long, text string"), queries.LICENSES).collect():
+        assert sorted(((s.license, s.first_word, s.last_word) for s in r.spans), key=lambda s: s[1]) == want[r.doc_id], r.doc_id
+        assert (r.license, r.coverage, r.first_word, r.last_word, r.aligned) == (tuple(r.spans[0]) if r.spans else (None,) * 5)
+
+
 def plain_viterbi(v, text):
     best, back = [0.0] + [-np.inf] * len(text), [None] * (len(text) + 1)
     for end in range(1, len(text) + 1):

@@ -6,6 +6,7 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from math import ceil
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -72,53 +73,106 @@ def windows(places: list[int], size: int) -> Iterator[tuple[int, int]]:
             yield slot * half, slot * half + size + half
 
 
-def scan(text: str, templates: list[tuple[str, list[str], dict[str, int]]], least: float) -> tuple | None:
-    """(name, coverage, first word, last word, words aligned) of the best template in ``text``, or None.
+def trimmed(pairs: list[tuple[int, int]], fewest: int, slack: int) -> list[tuple[int, int]]:
+    """``pairs`` without end pairs that lie over ``slack`` words further off in the text than in the template, as long
+    as ``fewest`` stay: such a pair is a stray word, often of the next notice."""
+    low, high = 0, len(pairs)
+    gap = lambda x, y: (y[1] - x[1]) - (y[0] - x[0])
+    while high - low > fewest and gap(pairs[low], pairs[low + 1]) > slack:
+        low += 1
+    while high - low > fewest and gap(pairs[high - 2], pairs[high - 1]) > slack:
+        high -= 1
+    return pairs[low:high]
+
+
+def aligned(words: list[str], template: list[str], need: dict[str, int], low: int, high: int, least: float) -> tuple | None:
+    """(-coverage, length, first word, last word, words aligned) of ``template`` in a window of ``words``, or None.
 
     A window goes to the alignment only if it holds enough of the template's words, counted with repeats: less can
-    never reach ``least``. Ties go to the longer template, then to the name, then to the earlier place.
-    """
+    never reach ``least``."""
+    part = words[low:high]
+    seen = Counter(w for w in part if w in need)
+    if sum(min(n, seen[w]) for w, n in need.items()) < least * len(template):
+        return None
+    pairs = patience(template, part)
+    if len(pairs) / len(template) < least:
+        return None
+    pairs = trimmed(pairs, max(2, ceil(least * len(template))), max(3, len(template) // 10))
+    first, last = low + pairs[0][1], low + pairs[-1][1]
+    return -len(pairs) / len(template), last - first, first, last, len(pairs)
+
+
+def free(low: int, high: int, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """What ``taken`` spans (ascending, last word included) leave of a window that they reach into."""
+    at, reached = max(0, bisect_left(taken, (low,)) - 1), False
+    while at < len(taken) and taken[at][0] < high:
+        first, last = taken[at]
+        if last >= low:
+            reached = True
+            if low < first:
+                yield low, first
+            low = last + 1
+        at += 1
+    if reached and low < high:
+        yield low, high
+
+
+def spans_of(words: list[str], template: list[str], need: dict[str, int], places: list[int], least: float) -> list[tuple]:
+    """Every span of ``template``, none over another: the best covered first, then the shorter, then the earlier. What
+    they leave of a window is aligned again, until nothing more is found."""
+    found, waiting = [], {(low, min(high, len(words))) for low, high in windows(places, len(template))}
+    while waiting:
+        taken: list[tuple[int, int]] = []
+        for span in sorted({s for w in waiting if (s := aligned(words, template, need, *w, least)) is not None}):
+            at = bisect_left(taken, span[2:4])
+            if (at == 0 or taken[at - 1][1] < span[2]) and (at == len(taken) or span[3] < taken[at][0]):
+                taken.insert(at, span[2:4])
+                found.append(span)
+        waiting = {part for w in waiting for part in free(*w, taken)}
+    return found
+
+
+def scan(text: str, templates: list[tuple[str, list[str], dict[str, int]]], least: float) -> list[tuple]:
+    """(name, coverage, first word, last word, words aligned) of every span of every template in ``text``, the best
+    first: ties go to the longer template, then to the name, then to the earlier place. Spans of one template do not
+    overlap; those of two may (a notice inside a longer text)."""
     words = words_of(text)
     held: dict[str, list[int]] = {}
     wanted = {w for _, _, need in templates for w in need}
     for at, w in enumerate(words):
         if w in wanted:
             held.setdefault(w, []).append(at)
-    best = None
+    out = []
     for name, template, need in templates:
         if sum(min(n, len(held.get(w, ()))) for w, n in need.items()) < least * len(template):
             continue
         places = sorted(at for w in need for at in held.get(w, ()))
-        for low, high in windows(places, len(template)):
-            part = words[low:high]
-            seen = Counter(w for w in part if w in need)
-            if sum(min(n, seen[w]) for w, n in need.items()) < least * len(template):
-                continue
-            pairs = patience(template, part)
-            coverage = len(pairs) / len(template)
-            if coverage >= least:
-                key = (-coverage, -len(template), name, low + pairs[0][1])
-                if best is None or key < best[0]:
-                    best = (key, (name, coverage, low + pairs[0][1], low + pairs[-1][1], len(pairs)))
-    return best and best[1]
+        for share, _, first, last, n in spans_of(words, template, need, places, least):
+            out.append(((share, -len(template), name, first), (name, -share, first, last, n)))
+    return [span for _, span in sorted(out)]
 
 
 def license_spans(df: DataFrame, templates: dict[str, str], text: str = "text", least: float = 0.8) -> DataFrame:
-    """All columns but ``text``, with license, coverage, first_word, last_word, aligned of the best covered template.
+    """All columns but ``text``, with ``spans``: license, coverage, first_word, last_word, aligned of every span of
+    every template that is covered by ``least``, repeats too, and the same five of the best of them as columns.
 
     ``coverage`` is the share of the template's words (letters and digits, lower-cased) that patience alignment finds
-    in order; without a template covered by ``least`` all five are null. Null, empty and word-less texts have none.
+    in order; without a span ``spans`` is empty and the five are null. Null, empty and word-less texts have none.
     A text is scanned whole, in windows that grow with the template and not with the text; repeated rows repeat.
     """
     kept = [c for c in df.columns if c != text]
     compiled = [(name, words, dict(Counter(words))) for name, words in ((n, words_of(t)) for n, t in sorted(templates.items())) if words]
-    added = [("license", pa.string()), ("coverage", pa.float64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("aligned", pa.int64())]
+    fields = [("license", pa.string()), ("coverage", pa.float64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("aligned", pa.int64())]
+    names = [n for n, _ in fields]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [scan(t.as_py() or "", compiled, least) or (None,) * 5 for t in batch.column(0)]
-            columns = [pa.array(c, kind) for c, (_, kind) in zip(zip(*found, strict=True) if found else [()] * 5, added, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *columns], names=[*kept, *(n for n, _ in added)])
-
-    schema = widened(df.select(*kept), "license string, coverage double, first_word long, last_word long, aligned long")
+            found = [scan(t.as_py() or "", compiled, least) for t in batch.column(0)]
+            best = [spans[0] if spans else (None,) * 5 for spans in found]
+            columns = [pa.array(c, kind) for c, (_, kind) in zip(zip(*best, strict=True) if best else [()] * 5, fields, strict=True)]
+            every = pa.array([[dict(zip(names, s, strict=True)) for s in spans] for spans in found], pa.list_(pa.struct(fields)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *columns, every], names=[*kept, *names, "spans"])
+
+    five = "license string, coverage double, first_word long, last_word long, aligned long"
+    schema = widened(df.select(*kept), f"{five}, spans array<struct<{five}>>")
     return df.select(text, *kept).mapInArrow(task, schema)
