@@ -79,6 +79,25 @@ def test_every_license_span(spark):
         assert (r.license, r.coverage, r.first_word, r.last_word, r.aligned) == (tuple(r.spans[0]) if r.spans else (None,) * 5)
 
 
+def test_like_licenses_are_told_apart(spark):
+    gnu = "This work is licensed under the GNU {} Public License, version {}."
+    cases = {
+        "Released under the BSD License.": ["BSD notice"], "Released under the Zlib License.": [], "Released under the terms of the MIT License.": ["MIT notice"],
+        "Licensed under CC BY 4.0.": ["CC-BY-4.0 notice"], "Licensed under CC BY-SA 4.0.": ["CC-BY-SA-4.0 notice"], "Licensed under CC BY-NC-SA 4.0.": [],
+        "Licensed under CC BY-NC 4.0.": ["CC-BY-NC-4.0 notice"], "Licensed under CC BY-ND 4.0.": [], "Licensed under CC BY-NC 3.0.": [],
+        gnu.format("General", 2): ["GPL-2.0 notice", "GPL notice"], gnu.format("General", 3): ["GPL-3.0 notice", "GPL notice"], gnu[:-13].format("General"): ["GPL notice"], gnu.format("Lesser General", 3): ["LGPL-3.0 notice"],
+        gnu.format("Lesser General", 2.1): ["LGPL-2.1 notice"], gnu.format("Affero General", 3): ["AGPL-3.0 notice"], gnu.format("Library General", 3): [],
+        "Licensed under the Apache License, Version 2.0.": ["Apache-2.0 notice"], "Licensed under the Apache License, Version 1.1.": [], "This work is licensed under the GNU General Public License v3.": ["GPL-3.0 notice, v3", "GPL notice"],
+        "Copyright 2020. All rights reserved.": ["All rights reserved"], "All reserved rights": [],
+        f"{queries.LICENSES['MIT']} {queries.LICENSES['MIT warranty']}": ["MIT", "MIT warranty"],
+        # commented code between the lines of a long text: the span is over 1.5 times as long as the template
+        " ".join(w + " x y" * (i % 2) for i, w in enumerate(queries.LICENSES["MIT"].split())): ["MIT"],
+    }
+    df = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    got = {r.doc_id: [s.license for s in r.spans] for r in licenses.license_spans(df, queries.LICENSES).collect()}
+    assert [got[i] for i in range(len(cases))] == list(cases.values())
+
+
 def plain_viterbi(v, text):
     best, back = [0.0] + [-np.inf] * len(text), [None] * (len(text) + 1)
     for end in range(1, len(text) + 1):

@@ -6,6 +6,7 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from math import ceil
 
 import pyarrow as pa
@@ -16,6 +17,16 @@ from tickloom.llm.common import widened
 _WORD = re.compile(r"\w+")
 
 
+@dataclass(frozen=True)
+class Template:
+    """``need``: how often each word occurs; ``phrases``: places of the phrases that must stand whole in a text."""
+
+    name: str
+    words: list[str]
+    need: dict[str, int]
+    phrases: list[tuple[int, int]]
+
+
 def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
@@ -73,33 +84,62 @@ def windows(places: list[int], size: int) -> Iterator[tuple[int, int]]:
             yield slot * half, slot * half + size + half
 
 
-def trimmed(pairs: list[tuple[int, int]], fewest: int, slack: int) -> list[tuple[int, int]]:
+def phrases_of(template: str) -> list[tuple[int, int]]:
+    """(first, behind last) places, among the template's words, of its phrases in braces."""
+    parts, at, out = re.split(r"([{}])", template), 0, []
+    for i, part in enumerate(parts):
+        n = len(words_of(part))
+        if i and parts[i - 1] == "{" and n:
+            out.append((at, at + n))
+        at += n
+    return out
+
+
+def told_apart(pairs: list[tuple[int, int]], phrases: list[tuple[int, int]]) -> bool:
+    """Whether every phrase is aligned whole, with no word between its words: "GNU Lesser General" is not "GNU General"."""
+    place = dict(pairs)
+    return all(a in place and place.get(i) == place[a] + i - a for a, b in phrases for i in range(a, b))
+
+
+def trimmed(pairs: list[tuple[int, int]], fewest: int, slack: int, phrases: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """``pairs`` without end pairs that lie over ``slack`` words further off in the text than in the template, as long
-    as ``fewest`` stay: such a pair is a stray word, often of the next notice."""
+    as ``fewest`` stay: such a pair is a stray word, often of the next notice. Words of ``phrases`` stay."""
     low, high = 0, len(pairs)
+    fixed = {i for a, b in phrases for i in range(a, b)}
     gap = lambda x, y: (y[1] - x[1]) - (y[0] - x[0])
-    while high - low > fewest and gap(pairs[low], pairs[low + 1]) > slack:
+    while high - low > fewest and pairs[low][0] not in fixed and gap(pairs[low], pairs[low + 1]) > slack:
         low += 1
-    while high - low > fewest and gap(pairs[high - 2], pairs[high - 1]) > slack:
+    while high - low > fewest and pairs[high - 1][0] not in fixed and gap(pairs[high - 2], pairs[high - 1]) > slack:
         high -= 1
     return pairs[low:high]
 
 
-def aligned(words: list[str], template: list[str], need: dict[str, int], low: int, high: int, least: float) -> tuple | None:
-    """(-coverage, length, first word, last word, words aligned) of ``template`` in a window of ``words``, or None.
+def aligned(words: list[str], t: Template, low: int, high: int, end: int, least: float) -> tuple | None:
+    """(-coverage, length, first word, last word, words aligned) of ``t`` in a window of ``words``, or None.
 
     A window goes to the alignment only if it holds enough of the template's words, counted with repeats: less can
-    never reach ``least``."""
-    part = words[low:high]
-    seen = Counter(w for w in part if w in need)
-    if sum(min(n, seen[w]) for w, n in need.items()) < least * len(template):
+    never reach ``least``. One that holds half of that grows to ``end`` at most, as long as each further half a template
+    brings words that it still lacks."""
+    size, fewest = len(t.words), least * len(t.words)
+    seen = Counter(w for w in words[low:high] if w in t.need)
+    held = sum(min(n, seen[w]) for w, n in t.need.items())
+    if 2 * held < fewest:
         return None
-    pairs = patience(template, part)
-    if len(pairs) / len(template) < least:
-        return None
-    pairs = trimmed(pairs, max(2, ceil(least * len(template))), max(3, len(template) // 10))
-    first, last = low + pairs[0][1], low + pairs[-1][1]
-    return -len(pairs) / len(template), last - first, first, last, len(pairs)
+    while True:
+        if held >= fewest:
+            pairs = patience(t.words, words[low:high])
+            if len(pairs) >= fewest and told_apart(pairs, t.phrases):
+                pairs = trimmed(pairs, max(2, ceil(fewest)), max(3, size // 10), t.phrases)
+                first, last = low + pairs[0][1], low + pairs[-1][1]
+                return -len(pairs) / size, last - first, first, last, len(pairs)
+        before, further = held, min(high + max(4, size // 2), end)
+        for w in words[high:further]:
+            if w in t.need:
+                held += seen[w] < t.need[w]
+                seen[w] += 1
+        if held == before:
+            return None
+        high = further
 
 
 def free(low: int, high: int, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
@@ -117,38 +157,47 @@ def free(low: int, high: int, taken: list[tuple[int, int]]) -> Iterator[tuple[in
         yield low, high
 
 
-def spans_of(words: list[str], template: list[str], need: dict[str, int], places: list[int], least: float) -> list[tuple]:
-    """Every span of ``template``, none over another: the best covered first, then the shorter, then the earlier. What
-    they leave of a window is aligned again, until nothing more is found."""
-    found, waiting = [], {(low, min(high, len(words))) for low, high in windows(places, len(template))}
+def spans_of(words: list[str], t: Template, places: list[int], least: float) -> list[tuple]:
+    """Every span of ``t``, none over another: the best covered first, then the shorter, then the earlier. What they
+    leave of a window is aligned again, until nothing more is found."""
+    found, waiting = [], {(low, min(high, len(words))) for low, high in windows(places, len(t.words))}
+    taken: list[tuple[int, int]] = []
     while waiting:
-        taken: list[tuple[int, int]] = []
-        for span in sorted({s for w in waiting if (s := aligned(words, template, need, *w, least)) is not None}):
+        drawn, tried = set(), []
+        for low, high in waiting:
+            at = bisect_left(taken, (low,))
+            span = aligned(words, t, low, high, taken[at][0] if at < len(taken) else len(words), least)
+            tried.append((low, high if span is None else max(high, span[3] + 1)))
+            if span is not None:
+                drawn.add(span)
+        for span in sorted(drawn):
             at = bisect_left(taken, span[2:4])
             if (at == 0 or taken[at - 1][1] < span[2]) and (at == len(taken) or span[3] < taken[at][0]):
                 taken.insert(at, span[2:4])
                 found.append(span)
-        waiting = {part for w in waiting for part in free(*w, taken)}
+        waiting = {part for w in tried for part in free(*w, taken)}
     return found
 
 
-def scan(text: str, templates: list[tuple[str, list[str], dict[str, int]]], least: float) -> list[tuple]:
+def scan(text: str, templates: list[Template], least: float) -> list[tuple]:
     """(name, coverage, first word, last word, words aligned) of every span of every template in ``text``, the best
     first: ties go to the longer template, then to the name, then to the earlier place. Spans of one template do not
     overlap; those of two may (a notice inside a longer text)."""
     words = words_of(text)
     held: dict[str, list[int]] = {}
-    wanted = {w for _, _, need in templates for w in need}
+    wanted = {w for t in templates for w in t.need}
     for at, w in enumerate(words):
         if w in wanted:
             held.setdefault(w, []).append(at)
     out = []
-    for name, template, need in templates:
-        if sum(min(n, len(held.get(w, ()))) for w, n in need.items()) < least * len(template):
+    for t in templates:
+        if sum(min(n, len(held.get(w, ()))) for w, n in t.need.items()) < least * len(t.words):
+            continue
+        if any(w not in held for a, b in t.phrases for w in t.words[a:b]):
             continue
-        places = sorted(at for w in need for at in held.get(w, ()))
-        for share, _, first, last, n in spans_of(words, template, need, places, least):
-            out.append(((share, -len(template), name, first), (name, -share, first, last, n)))
+        places = sorted(at for w in t.need for at in held.get(w, ()))
+        for share, _, first, last, n in spans_of(words, t, places, least):
+            out.append(((share, -len(t.words), t.name, first), (t.name, -share, first, last, n)))
     return [span for _, span in sorted(out)]
 
 
@@ -158,10 +207,11 @@ def license_spans(df: DataFrame, templates: dict[str, str], text: str = "text",
 
     ``coverage`` is the share of the template's words (letters and digits, lower-cased) that patience alignment finds
     in order; without a span ``spans`` is empty and the five are null. Null, empty and word-less texts have none.
+    Phrases in braces tell a template from its like: they must stand whole in the text, whatever the coverage.
     A text is scanned whole, in windows that grow with the template and not with the text; repeated rows repeat.
     """
     kept = [c for c in df.columns if c != text]
-    compiled = [(name, words, dict(Counter(words))) for name, words in ((n, words_of(t)) for n, t in sorted(templates.items())) if words]
+    compiled = [Template(name, words_of(t), dict(Counter(words_of(t))), phrases_of(t)) for name, t in sorted(templates.items()) if words_of(t)]
     fields = [("license", pa.string()), ("coverage", pa.float64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("aligned", pa.int64())]
     names = [n for n, _ in fields]
 

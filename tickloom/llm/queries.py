@@ -127,18 +127,35 @@ def op3_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.archive_pages(table(spark, folder, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-#: License notices and texts to look for.
+#: License notices and texts to look for; what tells a notice from its like is in braces.
 LICENSES = {
-    "Apache-2.0 notice": "Licensed under the Apache License, Version 2.0.",
-    "MIT notice": "Released under the MIT License.",
-    "GPL-3.0 notice": "This work is licensed under the GNU General Public License, version 3.",
-    "CC-BY-NC-4.0 notice": "Licensed under CC BY-NC 4.0.",
+    "Apache-2.0 notice": "Licensed under the {Apache} License, {Version 2}.0.",
+    "MIT notice": "Released under the {MIT License}.",
+    "BSD notice": "Released under the {BSD License}.",
+    "GPL notice": "This work is licensed under the {GNU General} Public License.",
+    "GPL-2.0 notice": "This work is licensed under the {GNU General} Public License, {version 2}.",
+    "GPL-3.0 notice": "This work is licensed under the {GNU General} Public License, {version 3}.",
+    "GPL-2.0 notice, v2": "This work is licensed under the {GNU General} Public License {v2}.",
+    "GPL-3.0 notice, v3": "This work is licensed under the {GNU General} Public License {v3}.",
+    "LGPL-2.1 notice": "This work is licensed under the {GNU Lesser} General Public License, {version 2.1}.",
+    "LGPL-3.0 notice": "This work is licensed under the {GNU Lesser} General Public License, {version 3}.",
+    "AGPL-3.0 notice": "This work is licensed under the {GNU Affero} General Public License, {version 3}.",
+    "CC-BY-4.0 notice": "Licensed under {CC BY 4.0}.",
+    "CC-BY-SA-4.0 notice": "Licensed under {CC BY-SA 4.0}.",
+    "CC-BY-NC-4.0 notice": "Licensed under {CC BY-NC 4.0}.",
+    "All rights reserved": "{All rights reserved}.",
     "MIT": (
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), "
         "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, "
         "and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above "
         "copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
     ),
+    "MIT warranty": (
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, "
+        "FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER "
+        "LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS "
+        "IN THE SOFTWARE."
+    ),
     "Apache-2.0 header": (
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy "
         "of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the "
