@@ -72,6 +72,17 @@ def test_mined_rules_match_plain(spark):
     assert urls.mine(df.limit(0), p=p) == []
 
 
+def test_long_urls_are_learned_from(spark):
+    deep = "/".join(f"d{i}" for i in range(40))
+    rows = [(f"https://spam.org/{deep}/{i}?" + "&".join(f"n{i}k{j}=1" for j in range(30)), 1) for i in range(60)]
+    rows += [(f"https://spam.org/{i}", int(i % 10 == 0)) for i in range(60)]
+    mined = urls.mine(spark.createDataFrame(rows, "url string, bad int"))
+    got = {(t, s): (round(c, 9), round(n, 9)) for t, s, c, n in mined}
+    want = {(frozenset([f"p:d{i}"]), urls.BAD): (1.0, 0.5) for i in range(40)}
+    assert got == want
+    assert {(t, s) for t, s, *_ in urls.mine(spark.createDataFrame(rows[:70], "url string, bad int"))} >= {(frozenset(["h:spam"]), urls.BAD), (frozenset(["p:d39"]), urls.BAD)}
+
+
 def pages(spark, rows):
     return spark.createDataFrame([(*r, "z", 1) for r in rows], "page_id long, url string, html string, archive string, offset int")
 
