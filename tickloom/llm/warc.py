@@ -75,10 +75,13 @@ def opened(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
 
 
 class Inflated:
-    """Bytes of a gzip file (of one member or of many), inflated once from front to back."""
+    """Bytes of a gzip file (of one member or of many), inflated once from front to back.
+
+    ``at`` is the place of the reader in ``held``; what lies before it is dropped only when more is inflated.
+    """
 
     def __init__(self, stream) -> None:
-        self.stream, self.held, self.z = stream, b"", zlib.decompressobj(31)
+        self.stream, self.held, self.at, self.z = stream, bytearray(), 0, zlib.decompressobj(31)
 
     def more(self) -> bool:
         if self.z.eof and self.z.unused_data:
@@ -91,26 +94,29 @@ class Inflated:
                 return False
             if self.z.eof:
                 self.z = zlib.decompressobj(31)
+        del self.held[: self.at]
+        self.at = 0
         self.held += self.z.decompress(rest, 4 * CHUNK)
         return True
 
     def header(self) -> bytes | None:
         """Up to and with the empty line; None at the end of the stream."""
-        looked = 0
-        while (at := self.held.find(b"\r\n\r\n", max(0, looked - 3))) < 0:
-            looked = len(self.held)
+        looked = 0  # bytes after the place that hold no empty line
+        while (end := self.held.find(b"\r\n\r\n", self.at + max(0, looked - 3))) < 0:
+            looked = len(self.held) - self.at
             if not self.more():
-                if self.held.strip():
+                if self.held[self.at :].strip():
                     raise EOFError("a record's header ends early")
                 return None
-        out, self.held = self.held[: at + 4], self.held[at + 4 :]
-        return out
+        start, self.at = self.at, end + 4
+        return bytes(self.held[start : self.at])
 
     def block(self, size: int) -> Iterator[bytes]:
         while size:
-            if not self.held and not self.more():
+            if self.at == len(self.held) and not self.more():
                 raise EOFError("a record's block ends early")
-            out, self.held = self.held[:size], self.held[size:]
+            out = bytes(self.held[self.at : self.at + size])
+            self.at += len(out)
             size -= len(out)
             if out:
                 yield out
