@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import chat, exact, licenses, near, neighbours, packing, toxicity, urls, viterbi, warc
+from tickloom.llm import alignment, chat, exact, licenses, merkle, near, neighbours, packing, shards, toxicity, urls, viterbi, warc
 from tickloom.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -183,3 +183,93 @@ def op5_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_neighbours")
 def op10_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.nearest(table(spark, folder, "embeddings"), "id % 20 = 0")
+
+
+@query("op11_alignment")
+def op11_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment.align(table(spark, folder, "documents"), BYTE_PAIRS, public_tokenizers.path("piece_bpe_32k.model"))
+
+
+#: CRC-32 in SQL: the table of its 256 steps from the polynomial, and the fold of a list of bytes.
+_CRC_TABLE = "(select list(v order by n) from (select n, list_reduce([n, 1, 2, 3, 4, 5, 6, 7, 8], lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) as v from range(256) r(n)))"
+
+
+def _crc_sql(text: str) -> str:
+    digits = f"hex(encode({text}))"
+    bytes_of = f"list_transform(range(strlen({text})), lambda i: cast('0x' || substr({digits}, cast(2 * i + 1 as int), 2) as bigint))"
+    return f"xor(list_reduce(list_prepend(4294967295, {bytes_of}), lambda c, b: xor(steps[cast(xor(c, b) & 255 as int) + 1], c >> 8)), 4294967295)"
+
+
+_ARCS = 24 * shards.VIRTUAL + 1
+
+
+@query(
+    "op12_shards",
+    f"""
+with recursive tab as (select {_CRC_TABLE} as steps),
+t as (select doc_id, coalesce(text, '') as x from documents),
+e as (select doc_id, cast(strlen(x) + 8 as bigint) as size, cast({_crc_sql('x')} as bigint) as crc, cast('0x' || substr(md5(x), 1, 15) as bigint) as place from t, tab),
+placed as (select i % 24 as shard, cast('0x' || substr(md5('shard#' || (i % 24) || '#' || (i // 24)), 1, 15) as bigint) as place from range({_ARCS - 1}) r(i)),
+ring as (select row_number() over (order by place, shard) - 1 as arc, shard, place from (select * from placed union all select arg_min(shard, place), 1::bigint << 60 from placed)),
+line as (select *, row_number() over (order by place, doc_id nulls first) - 1 as rank from e),
+ranked as (select line.doc_id, size, crc, rank, ring.arc from line asof join ring on line.place <= ring.place),
+held as (select arc, count(*) as own, min(rank) as first from ranked group by arc),
+a1 as (select arc, shard, first, coalesce(own, 0) as own from ring left join held using (arc)),
+a2 as (select *, coalesce(sum(own) over (partition by shard order by arc rows between unbounded preceding and 1 preceding), 0) as prior, sum(own) over (partition by shard) as load, sum(own) over () as total from a1),
+a3 as (select *, total // 24 + (shard < total % 24)::int as capacity from a2),
+a4 as (select *, greatest(least(own, capacity - prior), 0) as stay, least(load, capacity) as kept from a3),
+arcs as (select *, own - stay as surplus, capacity - kept as spare, coalesce(sum(own - stay) over (order by arc rows between unbounded preceding and 1 preceding), 0) as before from a4),
+walk as (
+    select 0 as step, 0::bigint as waiting, 0::bigint as taken, (select list(spare::bigint order by shard) from (select distinct shard, spare from arcs)) as room, 0::bigint as f, 0::bigint as t, 0::bigint as shard, 0::bigint as rest
+    union all
+    select step + 1, arr - g, taken + g, list_transform(room, lambda r, k: case when k = s + 1 then r - g else r end), taken, taken + g, s, room[s + 1]
+    from (select w.step, w.taken, w.room, a.shard as s, (w.waiting + case when w.step < {_ARCS} then a.surplus else 0 end)::bigint as arr, least(arr, w.room[a.shard + 1])::bigint as g from walk w join arcs a on a.arc = w.step % {_ARCS} where w.step < {2 * _ARCS})
+),
+runs as (select f, t, shard, kept + spare - rest as slot from walk join (select distinct shard, kept, spare from arcs) using (shard) where step > 0 and t > f),
+put as (select ranked.*, shard as owner, prior, stay, rank - first as r, case when rank - first >= stay then before + rank - first - stay end as ordinal from ranked join arcs using (arc))
+select doc_id, size, crc as text_crc32, 'rows' as law, cast(coalesce(runs.shard, owner) as int) as shard,
+    cast(case when ordinal is null then prior + r else runs.slot + ordinal - f end as bigint) as slot, null::int as grown_shard
+from put left join runs on ordinal >= f and ordinal < t
+""",
+)
+def op12_shards(spark: SparkSession, folder: str) -> DataFrame:
+    return shards.sharded(table(spark, folder, "documents"))
+
+
+def _field(x: str) -> str:
+    return f"coalesce(strlen({x}::varchar) || ':' || {x}::varchar, '-')"
+
+
+_UP = "list_transform(range(0, len(nodes), 3), lambda i: sha256(array_to_string(nodes[i + 1 : i + 3], '')))"
+_BESIDE = """array_to_string(nodes[low + 1 : spot], '') as l, array_to_string(nodes[spot + 2 : low + 3], '') as r"""
+
+
+@query(
+    "op13_merkle",
+    f"""
+with recursive tab as (select {_CRC_TABLE} as steps),
+d as (
+    select doc_id, coalesce('s' || source, '') as k, sha256({_field('doc_id')} || {_field('source')} || {_field('lang')} || {_field('n_chars')} || {_field('text')}) as leaf,
+        case when {_crc_sql('doc_id::varchar')} % 2 = 0 and contains(text, chr(10))
+            then sha256({_field('doc_id')} || {_field('source')} || {_field('lang')} || {_field('n_chars')} || {_field("replace(text, chr(10), '')")}) end as changed
+    from documents, tab
+),
+p as (select *, row_number() over () as rid, row_number() over (partition by k order by doc_id nulls first, leaf) - 1 as place from d),
+lv as (select k, 0 as level, list(leaf order by place) as nodes from p group by k union all select k, level + 1, {_UP} from lv where len(nodes) > 1),
+sub as (select k, nodes[1] as subroot, row_number() over (order by k) - 1 as number from lv where len(nodes) = 1),
+tv as (select 0 as level, list(subroot order by k) as nodes from sub union all select level + 1, {_UP} from tv where len(nodes) > 1),
+whole as (select nodes[1] as root from tv where len(nodes) = 1),
+ways as (
+    select rid, 0 as part, level, {_BESIDE} from (select rid, level, nodes, place // (3 ** level)::bigint as spot, spot - spot % 3 as low from p join lv using (k) where len(nodes) > 1)
+    union all select rid, 1, level, {_BESIDE} from (select rid, level, nodes, number // (3 ** level)::bigint as spot, spot - spot % 3 as low from p join sub using (k), tv where len(nodes) > 1)
+),
+st as (select *, row_number() over (partition by rid order by part, level) as step from ways),
+f as (select rid, 0 as step, coalesce(changed, leaf) as h from p union all select f.rid, f.step + 1, sha256(l || h || r) from f join st on st.rid = f.rid and st.step = f.step + 1),
+top as (select rid, arg_max(h, step) as folded_root from f group by rid),
+proof as (select rid, string_agg(l || r, '' order by step) as way from st group by rid)
+select doc_id, leaf, subroot, root, sha256(coalesce(way, '')) as proof_sha256, folded_root, folded_root = root as verified
+from p join sub using (k) join top using (rid) left join proof using (rid), whole
+""",
+)
+def op13_merkle(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle.merkle_manifest(table(spark, folder, "documents"))
