@@ -181,15 +181,17 @@ def evidence_upsert(spark, root):
 
 
 LAG_SQL = f"""{SP_SQL}, cal AS (SELECT trade_date, row_number() OVER (ORDER BY trade_date) AS session FROM (SELECT DISTINCT trade_date FROM bars)), r AS (SELECT trade_date, sector, ret_eqw - avg(ret_eqw) OVER (PARTITION BY trade_date) AS excess FROM sp),
-ev AS (SELECT CASE o_orderpriority WHEN '1-URGENT' THEN 'urgent' WHEN '2-HIGH' THEN 'high' ELSE 'other' END AS theme, sectors.concept AS sector, CAST(o_orderdate AS DATE) AS d, 1 + o_orderkey % 5 AS w FROM orders JOIN sectors ON sectors.symbol = o_custkey),
+ev AS (SELECT CASE o_orderpriority WHEN '1-URGENT' THEN 'urgent' WHEN '2-HIGH' THEN 'high' ELSE 'other' END AS theme, r_name AS sector, CAST(o_orderdate AS DATE) AS d, 1 + o_orderkey % 5 AS w FROM orders LEFT JOIN customer ON c_custkey = o_custkey LEFT JOIN nation ON n_nationkey = c_nationkey LEFT JOIN region ON r_regionkey = n_regionkey),
 h AS (SELECT ev.theme, k.lag, ev.w, r.excess FROM ev JOIN cal c ON c.trade_date = ev.d CROSS JOIN (SELECT unnest([1, 2, 3]) AS lag) k JOIN cal c2 ON c2.session = c.session + k.lag JOIN r ON r.trade_date = c2.trade_date AND r.sector = ev.sector WHERE excess IS NOT NULL),
 curve AS (SELECT theme, CAST(lag AS INT) AS lag, count(*) AS events, sum(w * excess) / sum(w) * count(*) / (count(*) + 5) AS shrunk_excess FROM h GROUP BY theme, lag)"""
 
 
 def policy_curve(spark, root):
     theme = F.when(F.col("o_orderpriority") == "1-URGENT", "urgent").when(F.col("o_orderpriority") == "2-HIGH", "high").otherwise("other")
-    ev = table(spark, root, "orders").join(sectors(spark, root), F.col("o_custkey") == F.col("symbol")).select(
-        theme.alias("theme"), F.col("concept").alias("sector"), F.to_date("o_orderdate").alias("event_date"), (1 + F.col("o_orderkey") % 5).cast("double").alias("strength"))
+    places = table(spark, root, "nation").join(table(spark, root, "region"), F.col("r_regionkey") == F.col("n_regionkey"))
+    buyers = table(spark, root, "customer").join(places, F.col("n_nationkey") == F.col("c_nationkey"), "left")
+    ev = table(spark, root, "orders").join(buyers, F.col("o_custkey") == F.col("c_custkey"), "left").select(
+        theme.alias("theme"), F.col("r_name").alias("sector"), F.to_date("o_orderdate").alias("event_date"), (1 + F.col("o_orderkey") % 5).cast("double").alias("strength"))
     p = SE.sector_panel(with_sector(spark, root), 3)
     r = p.select("trade_date", "sector", (F.col("ret_eqw") - F.avg("ret_eqw").over(Window.partitionBy("trade_date"))).alias("excess"))
     return EV.lag_curve(ev, r, pit.session_index(bars(spark, root)), 3)
@@ -200,7 +202,7 @@ def policy_lag_curve(spark, root):
     return t(policy_curve(spark, root), "shrunk_excess")
 
 
-@query("policy_peak_lag", f"WITH {LAG_SQL} SELECT theme, arg_max(lag, abs(shrunk_excess)) AS peak_lag FROM curve GROUP BY theme")
+@query("policy_peak_lag", f"WITH {LAG_SQL} SELECT theme, lag AS peak_lag FROM curve QUALIFY row_number() OVER (PARTITION BY theme ORDER BY round(abs(shrunk_excess), 12) DESC, lag) = 1")
 def policy_peak_lag(spark, root):
     return EV.peak_lag(policy_curve(spark, root))
 
