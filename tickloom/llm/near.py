@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import bytes_of, mix, word_runs
+from tickloom.llm.common import bytes_of, mix, widened, word_runs
 from tickloom.llm.graph import components
 from tickloom.session import stored
 
@@ -25,7 +25,7 @@ class Near:
 
     At a Jaccard similarity of exactly 0.75 a pair shares no band with probability (1 - 0.75^5)^40 = 2e-5, and above
     it less. ``block``: members of a bucket that meet as many others in one task, where a star did not settle it.
-    ``sigmas``: how far below the similarity an estimate from all bins may lie before a pair there is given up.
+    ``rounds``: how often every text first meets one centre only, before the stars that are still open meet in full. ``split``: members that are compared with a centre in one go.
     """
 
     words: int = 5
@@ -33,7 +33,8 @@ class Near:
     bands: int = 40
     rows: int = 5
     block: int = 256
-    sigmas: float = 5.5
+    rounds: int = 2
+    split: int = 2000
 
 
 def shingle_runs(words: np.ndarray, borders: np.ndarray, size: int) -> list[np.ndarray]:
@@ -114,27 +115,41 @@ class Sketcher:
         return mix((bins.reshape(self.p.bands, self.p.rows) * self.weights).sum(axis=1, dtype=np.uint64) + self.band)
 
 
+def class_of(raw: np.ndarray) -> bytes:
+    """A 128-bit digest of the words in the bytes of a text."""
+    return hashlib.blake2b(b" ".join(raw.tobytes().lower().split()), digest_size=16).digest()
+
+
 def sketches(df: DataFrame, p: Near) -> DataFrame:
-    """(id, text) → (id, shingles, class, bands, low). ``class`` is a 128-bit digest of the words, null without words;
-    ``low`` holds a byte of each bin."""
+    """(id, text) → (id, shingles, class, bands). ``class`` is a 128-bit digest of the words, null without words."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketcher = Sketcher(p)
         for batch in batches:
             count = np.zeros(batch.num_rows, dtype=np.int32)
-            keys, classes, low = [None] * batch.num_rows, [None] * batch.num_rows, [None] * batch.num_rows
+            keys, classes = [None] * batch.num_rows, [None] * batch.num_rows
             raw, offsets = bytes_of(batch.column(1))
             for first, words, b in word_runs(batch.column(1)):
                 for row, hashes in enumerate(shingle_runs(words, b, p.words), first):
                     if len(hashes):
-                        bins = sketcher.fill(hashes)
-                        count[row], keys[row], low[row] = len(hashes), sketcher.keys(bins).view(np.int64), bins.astype(np.uint8).tobytes()
-                        plain = b" ".join(raw[offsets[row] : offsets[row + 1]].tobytes().lower().split())
-                        classes[row] = hashlib.blake2b(plain, digest_size=16).digest()
-            columns = [batch.column(0), pa.array(count), pa.array(classes, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(low, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "shingles", "class", "bands", "low"])
+                        count[row], keys[row] = len(hashes), sketcher.keys(sketcher.fill(hashes)).view(np.int64)
+                        classes[row] = class_of(raw[offsets[row] : offsets[row + 1]])
+            columns = [batch.column(0), pa.array(count), pa.array(classes, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "shingles", "class", "bands"])
+
+    return df.mapInArrow(task, "id long, shingles int, class binary, bands array<long>")
 
-    return df.mapInArrow(task, "id long, shingles int, class binary, bands array<long>, low binary")
+
+def classed(df: DataFrame, text: str = "text", name: str = "class") -> DataFrame:
+    """``df`` with the class of each text, as ``sketches`` tells it."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, offsets = bytes_of(batch.column(batch.schema.get_field_index(text)))
+            found = [class_of(raw[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], names=[*batch.schema.names, name])
+
+    return df.mapInArrow(task, widened(df, f"`{name}` binary"))
 
 
 def shingle_set(text: str, size: int) -> set:
@@ -145,44 +160,53 @@ def shingle_set(text: str, size: int) -> set:
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, p: Near) -> DataFrame:
-    """The (a, b) of ``pairs`` whose full shingle sets are similar enough. One text travels per side and pair."""
-    left = texts.select(F.col("id").alias("a"), F.col("text").alias("ta"))
-    right = texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
+    """The (a, b) of ``pairs`` whose full shingle sets are similar enough.
+
+    The texts of all b that meet one a travel once each, and that of a once for every ``split`` of them; they meet in
+    order, so a task holds one shingle set at a time and a centre with very many members is many tasks.
+    """
+    held = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / p.split).cast("int").alias("parts")).filter("parts > 1")
+    dealt = pairs.join(held, "a", "left").withColumn("part", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("b"), F.col("parts"))).cast("int"))
+    members = dealt.select(F.col("b").alias("id"), "a", "part", F.lit(1).alias("kind"), "b")
+    centres = dealt.select(F.col("a").alias("id"), "a", "part", F.lit(0).alias("kind"), F.col("a").alias("b")).distinct()
+    asked = stored(members.unionAll(centres), "near-asked")  # its size is known, so Spark moves it and not the texts while it is small
+    met = asked.join(texts, "id").select("a", "part", "kind", "b", "text")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held = None, set()
+        centre: set = set()
         for batch in batches:
-            a, b, ta, tb = batch.columns
             keep = np.zeros(batch.num_rows, dtype=bool)
-            for i in range(batch.num_rows):
-                one = ta[i].as_py()
-                if one != last:
-                    last, held = one, shingle_set(one, p.words)
-                other = shingle_set(tb[i].as_py(), p.words)
-                both = len(held & other)
-                keep[i] = 100 * both >= p.percent * (len(held) + len(other) - both)
+            kinds, texts = batch.column(2).to_pylist(), batch.column(4)
+            for i, kind in enumerate(kinds):
+                other = shingle_set(texts[i].as_py(), p.words)
+                if kind == 0:
+                    centre = other
+                else:
+                    both = len(centre & other)
+                    keep[i] = 100 * both >= p.percent * (len(centre) + len(other) - both)
             mask = pa.array(keep)
-            yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(3).filter(mask)], names=["a", "b"])
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(task, "a long, b long")
+    return met.repartition("a", "part").sortWithinPartitions("a", "part", "kind").mapInArrow(task, "a long, b long")
 
 
-def star_pairs(active: DataFrame, p: Near) -> DataFrame:
-    """Distinct (a < b) of each bucket's smallest id and its other members whose set sizes allow the similarity."""
-    centres = active.groupBy("bucket").agg(F.min(F.struct("id", "shingles")).alias("c"))
-    met = active.join(centres, "bucket").filter(F.col("id") != F.col("c.id"))
+def star_pairs(active: DataFrame, groups: DataFrame, p: Near) -> DataFrame:
+    """(a, b) of each bucket's smallest id and its other members whose set sizes allow the similarity and whose
+    component is not the centre's. Repeats once for every bucket that two texts share."""
+    labelled = active.join(groups.withColumnRenamed("component", "group"), "id", "left").withColumn("group", F.coalesce("group", "id"))
+    centres = labelled.groupBy("bucket").agg(F.min(F.struct("id", "shingles", "group")).alias("c"))
+    met = labelled.join(centres, "bucket").filter(F.col("group") != F.col("c.group"))
     least, most = F.least("shingles", "c.shingles"), F.greatest("shingles", "c.shingles")
-    return met.filter(100 * least >= p.percent * most).select(F.col("c.id").alias("a"), F.col("id").alias("b")).distinct()
+    return met.filter(100 * least >= p.percent * most).select(F.col("c.id").alias("a"), F.col("id").alias("b"))
 
 
-def rest_pairs(active: DataFrame, groups: DataFrame, classes: DataFrame, texts: DataFrame, p: Near) -> DataFrame:
+def rest_pairs(active: DataFrame, groups: DataFrame, texts: DataFrame, p: Near) -> DataFrame:
     """Distinct (a < b) that the stars left open: pairs of one bucket whose members are in different components.
 
     A bucket of one component is settled, and so is its smallest id, which met every member. The others of an open
     bucket are dealt to blocks by a hash, and each pair of blocks meets in one group of at most about ``2 * block``
-    rows. There the similarity is estimated from a byte of every bin; pairs whose estimate is within ``sigmas``
-    deviations of the threshold are compared by their shingle hashes in place. A group emits a spanning forest of the
-    links that it finds, so fewer pairs than it has rows.
+    rows. There all pairs of different components whose set sizes allow the similarity are compared by their shingle
+    hashes in place. A group emits a spanning forest of the links that it finds, so fewer pairs than it has rows.
     """
     labelled = active.join(groups.withColumnRenamed("component", "group"), "id", "left").withColumn("group", F.coalesce("group", "id"))
     spread = labelled.groupBy("bucket").agg(F.min("id").alias("centre"), F.min("group").alias("least"), F.max("group").alias("most"), F.count(F.lit(1)).alias("held"))
@@ -191,12 +215,10 @@ def rest_pairs(active: DataFrame, groups: DataFrame, classes: DataFrame, texts:
     blocks = F.ceil(F.col("held") / p.block).cast("int")
     dealt = left.withColumn("own", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     dealt = dealt.select("bucket", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "id", "shingles", "group")
-    whole = dealt.join(classes.select("id", "low").join(texts, "id"), "id")
-    bins = p.bands * p.rows
+    whole = stored(dealt, "near-dealt").join(texts, "id")
 
     def compare(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         ids, sizes, group, own = (rows[c].to_numpy() for c in ("id", "shingles", "group", "own"))
-        low = np.frombuffer(b"".join(rows["low"].to_pylist()), dtype=np.uint8).reshape(len(ids), bins)
         x, y = rows["x"][0].as_py(), rows["y"][0].as_py()
         left, right = np.flatnonzero(own == x), np.flatnonzero(own == y)
         shared, root, out = None, np.arange(len(ids)), []
@@ -204,11 +226,7 @@ def rest_pairs(active: DataFrame, groups: DataFrame, classes: DataFrame, texts:
             others = right[right > i] if x == y else right
             least, most = np.minimum(sizes[i], sizes[others]).astype(np.int64), np.maximum(sizes[i], sizes[others]).astype(np.int64)
             fits = (group[others] != group[i]) & (root[others] != root[i]) & (100 * least >= p.percent * most)
-            others, least = others[fits], least[fits]
-            if len(others):
-                j = p.percent / 100
-                needed = bins * (j - p.sigmas * np.sqrt(j * (1 - j) / np.minimum(least, bins)))
-                others = others[(low[others] == low[i]).sum(axis=1) >= needed]
+            others = others[fits]
             if len(others):
                 shared = shared or Shared(rows["text"], p.words)
                 both = shared.with_all(i)[others]
@@ -235,40 +253,81 @@ def rest_pairs(active: DataFrame, groups: DataFrame, classes: DataFrame, texts:
     return met.mapInArrow(task, "a long, b long").filter("a <> b").distinct()
 
 
-def near_links(classes: DataFrame, df: DataFrame, p: Near) -> DataFrame:
-    """Confirmed links (a, b) between class representatives that share a band; inside a component that the stars
-    found, only the stars' own links.
+def near_links(classes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], p: Near) -> DataFrame:
+    """Confirmed links (a, b) between classes that share a band; inside a component that the stars found, only the
+    stars' own links. ``texts_of`` gives (id, text) of the ids it is handed.
 
-    Each bucket is a star first: its smallest id meets every other member. The components of the confirmed edges settle
-    most buckets; the rest is compared by ``rest_pairs``. A pair is lost only if its sketches mislead: see ``Near``.
+    Each bucket is a star around its smallest id. In the first rounds every text meets one centre alone, the smallest
+    that it has not met and is not joined to, so a large group of copies costs as many pairs as it has members.
+    Then the stars that are still open meet in full, and what they leave open is compared by ``rest_pairs``. A pair is
+    lost only if it shares no band: see ``Near``.
     """
     banded = classes.select("id", "shingles", F.explode("bands").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low <> high").select("bucket")
     active = stored(banded.join(shared, "bucket"), "near-buckets")
-    texts = stored(df.join(active.select("id").distinct(), "id", "left_semi"), "near-texts")
-    links = stored(confirmed(stored(star_pairs(active, p), "near-pairs"), texts, p), "near-links")
-    further = stored(rest_pairs(active, components(links), classes, texts, p), "near-pairs")
+    texts = stored(texts_of(active.select("id").distinct()), "near-texts")
+    groups = classes.select("id", F.col("id").alias("component")).limit(0)
+    met, links = None, None
+    for number in range(p.rounds + 1):
+        open_pairs = star_pairs(active, groups, p)
+        if met is not None:
+            open_pairs = open_pairs.join(met, ["a", "b"], "left_anti")
+        if number < p.rounds:
+            open_pairs = open_pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+        pairs = stored(open_pairs.distinct(), "near-pairs")
+        found = stored(confirmed(pairs, texts, p), "near-links")
+        met, links = pairs if met is None else met.union(pairs), found if links is None else links.union(found)
+        groups = components(links)
+    further = stored(rest_pairs(active, groups, texts, p), "near-pairs")
     return links.union(stored(confirmed(further, texts, p), "near-links"))
 
 
+def near_rows(df: DataFrame, id: str = "doc_id", text: str = "text", p: Near = Near()) -> DataFrame:
+    """One row per row of ``df``: id, shingles, class, component. See ``near_duplicates``."""
+    source = df.select(F.col(id).alias("id"), F.col(text).alias("text"))
+    drawn = stored(sketches(source, p), "near-sketches")
+    known = drawn.filter("class is not null and id is not null")
+    members = stored(known.groupBy("class").agg(F.min("id").alias("rep")).withColumn("node", F.monotonically_increasing_id()), "near-classes")
+    whole = known.join(members, (known["class"] == members["class"]) & (known["id"] == members["rep"])).select("node", "shingles", "bands")
+    single = whole.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty()  # no row is repeated
+    classes = (whole if single else whole.dropDuplicates(["node"])).withColumnRenamed("node", "id")
+
+    def texts_of(nodes: DataFrame) -> DataFrame:
+        asked = stored(members.join(nodes.withColumnRenamed("id", "node"), "node", "left_semi"), "near-asked")
+        told = classed(source.join(asked.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"))
+        found = told.join(asked, "class").filter("id = rep").select(F.col("node").alias("id"), "text")
+        return found if single else found.dropDuplicates(["id"])
+
+    groups = components(near_links(classes, texts_of, p))
+    joined = members.join(groups, members["node"] == groups["id"]).select("class", "rep", "component")
+    least = joined.groupBy("component").agg(F.min("rep").alias("least"))
+    named = members.join(joined.join(least, "component").select("class", "least"), "class", "left").select("class", F.coalesce("least", "rep").alias("named"))
+    placed = drawn.select("id", "shingles", "class").join(named, "class", "left")
+    return placed.select("id", "shingles", "class", F.when(F.col("id").isNotNull(), F.coalesce("named", "id")).alias("component"))
+
+
 def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", p: Near = Near()) -> DataFrame:
     """One row per row of ``df``: id, n_shingles, component_id, kept.
 
     Texts are linked when 100 * |A ∩ B| >= percent * |A ∪ B| for their sets of word shingles; a component's id is the
     smallest id in it. Null, empty and blank texts have no shingles and are linked with nothing. Equal word sequences
-    form a class, and classes are represented by their smallest id: copies are counted in, never paired with each
-    other. A row with a null id has a null component and is kept; a repeated row repeats in the result, and an id with
-    several texts is judged text by text. Other columns are not looked at. Empty tables give an empty result.
+    form a class, the node of the graph: copies are counted in, never paired with each other. A row with a null id has
+    a null component and is kept; a repeated row repeats in the result, and the texts of an id with several texts are
+    joined and kept each for itself. Other columns are not looked at. Empty tables give an empty result.
     """
-    source = df.select(F.col(id).alias("id"), F.col(text).alias("text"))
-    drawn = stored(sketches(source, p), "near-sketches")
-    known = drawn.filter("class is not null and id is not null")
-    members = known.groupBy("class").agg(F.min("id").alias("rep"))
-    classes = known.join(members, (known["class"] == members["class"]) & (known["id"] == members["rep"])).select("id", "shingles", "bands", "low").dropDuplicates(["id", "bands"])
-    groups = components(near_links(classes, source.filter("id is not null"), p))
-    placed = drawn.select("id", "shingles", "class").join(members, "class", "left")
-    placed = placed.join(groups.select(F.col("id").alias("rep"), "component"), "rep", "left")
-    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "rep", "id"))
-    return placed.select(F.col("id").alias(id), F.col("shingles").cast("long").alias("n_shingles"), component.alias("component_id")).withColumn(
-        "kept", F.coalesce(F.col(id) == F.col("component_id"), F.lit(True))
-    )
+    rows = near_rows(df, id, text, p)
+    kept = F.coalesce(F.col("id") == F.col("component"), F.lit(True))
+    return rows.select(F.col("id").alias(id), F.col("shingles").cast("long").alias("n_shingles"), F.col("component").alias("component_id"), kept.alias("kept"))
+
+
+def kept_rows(df: DataFrame, id: str = "doc_id", text: str = "text", p: Near = Near()) -> DataFrame:
+    """The rows of ``df`` that ``near_duplicates`` keeps, with all their columns. Where an id stands for several texts,
+    only the rows of its dropped texts go."""
+    rows = stored(near_rows(df, id, text, p), "near-rows")
+    gone = rows.filter("id <> component").select("id", "class").distinct()
+    mixed = rows.join(gone.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.max(F.col("id") == F.col("component")).alias("some")).filter("some").select("id")
+    name, word = "__near_id__", "__near_class__"
+    plain = df.join(gone.select(F.col("id").alias(name)).distinct(), F.col(id) == F.col(name), "left_anti")
+    several = classed(df.join(mixed.withColumnRenamed("id", name), F.col(id) == F.col(name), "left_semi"), text, word)
+    apart = several.join(gone.select(F.col("id").alias(name), F.col("class").alias("__gone__")), (F.col(id) == F.col(name)) & (F.col(word) == F.col("__gone__")), "left_anti")
+    return plain.unionByName(apart.drop(word))
