@@ -25,15 +25,14 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts (A-Z lower-cased), the row with the largest id."""
-    kept = exact.exact_duplicates(docs).filter("kept").select(F.col("doc_id").alias("__id__"), "text_sha256")
-    met = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id__"))).filter(F.sha2(exact.ascii_lower(F.col("text")), 256) == F.col("text_sha256"))
-    return met.dropDuplicates(["__id__", "text_sha256"]).select(*docs.columns)
+    kept = exact.exact_duplicates(docs).filter("kept").select(F.col("doc_id").alias("__id__"), F.col("text_sha256").alias("__sha__"))
+    met = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id__"))).filter(F.sha2(exact.ascii_lower(F.col("text")), 256) == F.col("__sha__"))
+    return met.dropDuplicates(["__id__", "__sha__"]).select(*docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate component: the one with the smallest id. Null ids are all kept."""
-    dropped = near.near_duplicates(docs).filter("not kept").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    return near.kept_rows(docs).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
