@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
-from dataclasses import dataclass
+from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,36 +21,37 @@ from tickloom.llm.tokens import _WIDE, BytePairs
 from tickloom.session import stored
 
 BLANK = "▁"
-#: Stretches a task remembers at once; beyond, the memory is emptied and fills again with the stretches in use.
-REMEMBERED = 60_000
+#: Stretches a task remembers; beyond, those in use since the last such change are kept.
+REMEMBERED = 150_000
+#: Bytes of texts that are aligned in one go.
+AT_ONCE = 1 << 21
 #: Most id pairs whose counts are sent to every task; the counts of all others are joined by shuffle.
 COMMON = 200_000
 #: A blank after anything but white space or the blank mark: neither vocabulary has a token across it.
 _CUT = re.compile("(?<=[^ \t\n\r\x0b\x0c▁])(?= )")
 
 
-def galloping(short: list[int], long: list[int]) -> Iterator[tuple[int, int]]:
+def galloping(short: list[int], long: list[int]) -> list[tuple[int, int]]:
     """Ranks (i, j) of the values in both ascending lists. Each value of ``short`` doubles its step through ``long``
     from where the last one ended, and is then searched by halving within the last step."""
-    low = 0
+    out, low, n = [], 0, len(long)
     for i, value in enumerate(short):
-        step, high = 1, low
-        while high < len(long) and long[high] < value:
-            low, high, step = high + 1, high + step, 2 * step
-        low = bisect_left(long, value, low, min(high, len(long)))
-        if low == len(long):
-            return
+        if low < n and long[low] < value:
+            step, high = 1, low + 1
+            while high < n and long[high] < value:
+                low, step = high, 2 * step
+                high += step
+            low = bisect_left(long, value, low + 1, min(high, n))
+        if low == n:
+            break
         if long[low] == value:
-            yield i, low
+            out.append((i, low))
+    return out
 
 
 def common_ranks(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     """Ranks of the common ends of two tokenisations; the shorter list drives."""
-    return list(galloping(a, b)) if len(a) <= len(b) else [(i, j) for j, i in galloping(b, a)]
-
-
-def ends_of(pieces: list[bytes]) -> list[int]:
-    return np.cumsum([len(p) for p in pieces]).tolist() if pieces else []
+    return galloping(a, b) if len(a) <= len(b) else [(i, j) for j, i in galloping(b, a)]
 
 
 def overlaps(a: list[int], b: list[int]) -> Iterator[tuple[int, int, int]]:
@@ -59,28 +63,31 @@ def overlaps(a: list[int], b: list[int]) -> Iterator[tuple[int, int, int]]:
         start = end
 
 
-@dataclass(frozen=True)
-class Aligned:
-    """One text, or one stretch of it: its tokens, groups and links."""
-
-    a: int
-    b: int
-    groups: list[str]
-    pairs: np.ndarray  # a * 2^32 + b of every link
-
+#: A text or a stretch of it: tokens of A, tokens of B, groups, the groups as text, and a * 2^32 + b of every link as bytes.
+Aligned = tuple[int, int, int, str, bytes]
+NOTHING: Aligned = (0, 0, 0, "", b"")
 
-NOTHING = Aligned(0, 0, [], np.zeros(0, dtype=np.int64))
 
-
-def aligned(a_ids: list[int], a_bytes: list[bytes], b_ids: list[int], b_bytes: list[bytes]) -> Aligned:
-    """Groups between common ends, and all pairs of overlapping tokens. Both byte lists make the same text."""
-    a_ends, b_ends = ends_of(a_bytes), ends_of(b_bytes)
-    groups, i, j = [], 0, 0
+def aligned(a: list[int], a_bytes: list[bytes], b: list[int], b_bytes: list[bytes]) -> Aligned:
+    """Groups between common ends, and all pairs of overlapping tokens, which lie inside one group. Both byte lists make
+    the same text."""
+    a_ends, b_ends = list(accumulate(map(len, a_bytes))), list(accumulate(map(len, b_bytes)))
+    groups, links, i, j = [], [], 0, 0
     for x, y in common_ranks(a_ends, b_ends):
-        groups.append(",".join(map(str, a_ids[i : x + 1])) + "|" + ",".join(map(str, b_ids[j : y + 1])))
+        if x == i and y == j:
+            groups.append(f"{a[i]}|{b[j]}")
+            links.append(a[i] << 32 | b[j])
+        else:
+            of_a, of_b = a[i : x + 1], b[j : y + 1]
+            groups.append(f"{','.join(map(str, of_a))}|{','.join(map(str, of_b))}")
+            if x == i or y == j:  # one token over all of the others
+                links += [p << 32 | q for p in of_a for q in of_b]
+            else:
+                start = a_ends[i - 1] if i else 0
+                inside = overlaps([e - start for e in a_ends[i : x + 1]], [e - start for e in b_ends[j : y + 1]])
+                links += [of_a[k] << 32 | q for k, first, last in inside for q in of_b[first:last]]
         i, j = x + 1, y + 1
-    links = [(a_ids[i] << 32) | b_ids[j] for i, first, last in overlaps(a_ends, b_ends) for j in range(first, last)]
-    return Aligned(len(a_ids), len(b_ids), groups, np.array(links, dtype=np.int64))
+    return len(a), len(b), len(groups), ";".join(groups), array("q", links).tobytes()
 
 
 def byte_level() -> dict[str, int]:
@@ -106,33 +113,49 @@ class Aligner:
         names = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(BLANK, " ").encode() for i, p in enumerate(names)]
         self.cuts = not any(" " in p or BLANK in p.lstrip(BLANK) for p in names)
-        self.seen: dict[str, Aligned | None] = {}
-
-    def tokens(self, stretch: str) -> tuple[list[int], list[int]]:
-        """Ids of a stretch that starts with a blank."""
-        return np.frombuffer(self.a.chunk(stretch), dtype="<u4").tolist(), self.b.encode(stretch[1:]) if len(stretch) > 1 else [self.b.piece_to_id(BLANK)]
-
-    def stretch(self, text: str) -> Aligned | None:
-        found = self.seen.get(text, NOTHING)
-        if found is NOTHING:
-            a, b = self.tokens(text)
-            a_bytes, b_bytes = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-            plain = text.encode()
-            found = aligned(a, a_bytes, b, b_bytes) if b"".join(a_bytes) == plain == b"".join(b_bytes) else None
-            if len(self.seen) >= REMEMBERED:
-                self.seen.clear()
-            if len(text) <= 64:
-                self.seen[text] = found
-        return found
-
-    def text(self, text: str | None) -> Aligned:
+        self.known: dict[str, Aligned | None] = {}
+        self.older: dict[str, Aligned | None] = {}
+
+    def learn(self, stretches: set[str]) -> None:
+        """Align the stretches that are not known yet; those known from before the last change of memory are kept."""
+        new = []
+        for s in stretches:
+            if s not in self.known:
+                if s in self.older:
+                    self.known[s] = self.older[s]
+                else:
+                    new.append(s)
+        ids = iter(self.b.encode([s[1:] for s in new if len(s) > 1]))
+        for s in new:
+            a, b = self.a.core.encode_ordinary(s), next(ids) if len(s) > 1 else [self.b.piece_to_id(BLANK)]
+            a_bytes, b_bytes, plain = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b], s.encode()
+            self.known[s] = aligned(a, a_bytes, b, b_bytes) if b"".join(a_bytes) == plain == b"".join(b_bytes) else None
+
+    def texts(self, texts: list[str | None]) -> Iterator[Aligned]:
+        """The alignment of each text, in order."""
+        split = [self.stretches(t) for t in texts]
+        self.learn({s for stretches in split for s in stretches})
+        for stretches in split:
+            parts = [self.known[s] for s in stretches]
+            if not parts or None in parts:
+                yield NOTHING
+            else:
+                a, b, n, groups, links = zip(*parts, strict=True)
+                yield sum(a), sum(b), sum(n), ";".join(groups), b"".join(links)
+        if len(self.known) > REMEMBERED:
+            self.older, self.known = self.known, {}
+
+    def stretches(self, text: str | None) -> list[str]:
         if not text or BLANK in text:
-            return NOTHING
+            return []
         whole = " " + text
-        parts = [self.stretch(s) for s in (_CUT.split(whole) if self.cuts and not _WIDE.search(whole) else [whole])]  # such white space ends no chunk
-        if None in parts:
-            return NOTHING
-        return Aligned(sum(p.a for p in parts), sum(p.b for p in parts), [g for p in parts for g in p.groups], np.concatenate([p.pairs for p in parts]))
+        return _CUT.split(whole) if self.cuts and not _WIDE.search(whole) else [whole]  # such white space ends no chunk
+
+
+@lru_cache(maxsize=1)
+def aligner_of(byte_pairs: tuple[str, str, str], model: str) -> Aligner:
+    """One aligner per Python worker, whose memory serves task after task."""
+    return Aligner(byte_pairs, model)
 
 
 def alignments(df: DataFrame, id: str, text: str, byte_pairs: tuple[str, str, str], model: str) -> DataFrame:
@@ -144,17 +167,23 @@ def alignments(df: DataFrame, id: str, text: str, byte_pairs: tuple[str, str, st
     ])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = Aligner(byte_pairs, model)
+        aligner = aligner_of(byte_pairs, model)
         for batch in batches:
-            for start in range(0, batch.num_rows, 1000):
-                part = batch.slice(start, 1000)
-                rows = []
-                for row, key, value in zip(*(part.column(k).to_pylist() for k in range(3)), strict=True):
-                    got = aligner.text(value)
-                    pairs, times = np.unique(got.pairs, return_counts=True)
-                    digest = hashlib.sha256(";".join(got.groups).encode()).hexdigest() if got.a else ""
-                    rows.append((row, key, got.a, got.b, len(got.groups), len(got.pairs), digest, pairs, times.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True), kinds, strict=True)], schema=kinds)
+            ids, texts = [batch.column(k).to_pylist() for k in range(2)], batch.column(2)
+            sizes = np.cumsum([0, *(n or 0 for n in pc.binary_length(texts).to_pylist())])
+            start = 0
+            while start < batch.num_rows:
+                end = max(start + 1, int(np.searchsorted(sizes, sizes[start] + AT_ONCE, side="right")) - 1)
+                found = list(aligner.texts(texts.slice(start, end - start).to_pylist()))
+                links = [np.unique(np.frombuffer(raw, dtype=np.int64), return_counts=True) for *_, raw in found]
+                borders = np.cumsum([0, *(len(p) for p, _ in links)]).astype(np.int32)
+                columns = [
+                    pa.array(ids[0][start:end], pa.int64()), pa.array(ids[1][start:end], pa.int64()), *(pa.array([f[k] for f in found], pa.int64()) for k in range(3)),
+                    pa.array([len(f[4]) // 8 for f in found], pa.int64()), pa.array([hashlib.sha256(f[3].encode()).hexdigest() if f[0] else "" for f in found], pa.string()),
+                    *(pa.ListArray.from_arrays(pa.array(borders), pa.array(np.concatenate([v[k] for v in links]), t)) for k, t in ((0, pa.int64()), (1, pa.int32()))),
+                ]
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, kinds, strict=True)], schema=kinds)
+                start = end
 
     source = df.select(F.monotonically_increasing_id().alias(ROW), F.col(id).cast("long").alias(id), F.col(text).alias("__text__"))
     schema = f"`{ROW}` long, `{id}` long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, times array<int>"
