@@ -10,6 +10,7 @@ from tickloom.checks.normal_sql import normal_sql
 from tickloom.checks.registry import query
 from tickloom.functions.columns import tidy
 from tickloom.operators import evaluate as E
+from tickloom.operators import frontier as FR
 from tickloom.operators import labels as LB
 from tickloom.operators import pit
 from tickloom.operators import stats as ST
@@ -373,11 +374,32 @@ def overfitting_probability(spark, root):
     return ST.overfitting_probability(book_returns(spark, root), "lam", "trade_date", "ret", 8)
 
 
-@query("superior_ability_bootstrap")
+def _unit_sql(what: str) -> str:
+    return f"(('0x' || substr(md5('7:' || b || ':' || i || ':{what}'), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0::DOUBLE)"
+
+
+@query("superior_ability_bootstrap", f"""WITH {RET_SQL}, k AS (SELECT lam, trade_date, ret - market AS x FROM rets WHERE ret IS NOT NULL AND market IS NOT NULL),
+cal AS MATERIALIZED (SELECT trade_date, m, row_number() OVER (ORDER BY trade_date) - 1 AS i, count(*) OVER () AS n FROM (SELECT trade_date, avg(x) AS m, count(DISTINCT lam) AS c FROM k GROUP BY trade_date) WHERE c = (SELECT count(DISTINCT lam) FROM k)),
+d AS MATERIALIZED (SELECT lam, i, x, n FROM k JOIN cal USING (trade_date)),
+mo AS (SELECT avg(m) AS mean, var_pop(m) AS v, any_value(n) AS n FROM cal),
+au AS (SELECT a.i - b.i AS k, sum((a.m - mean) * (b.m - mean)) / any_value(mo.n) / any_value(v) AS r, any_value(mo.n) AS n, any_value(v) AS v FROM cal a, mo, cal b WHERE a.i > b.i AND a.i - b.i <= least(mo.n - 1, floor(8.0 * pow(mo.n / 100.0, 1.0 / 3.0)) + 1) GROUP BY 1),
+sig AS (SELECT * FROM au WHERE k < coalesce((SELECT min(k) FROM au WHERE abs(r) < 2.0 * sqrt(log10(n) / n)), 100000)),
+gs AS (SELECT coalesce(sum(2.0 * k * r), 0)::DOUBLE AS g, (SELECT v FROM mo) + coalesce(sum(2.0 * r), 0)::DOUBLE AS s FROM sig),
+bl AS (SELECT CASE WHEN n < 8 OR v <= 1e-15 OR s <= 1e-15 THEN 1 ELSE greatest(1, least(n // 2, round_even(pow(2 * g * g / (s * s), 1.0 / 3.0) * pow(n, 1.0 / 3.0), 0)::BIGINT)) END AS block FROM gs, mo),
+mu AS (SELECT lam, avg(x) AS mu, any_value(n) AS n, greatest(1, least(greatest(1, floor(4.0 * pow(any_value(n) / 100.0, 2.0 / 9.0))), any_value(n) - 1)) AS lag FROM d GROUP BY lam),
+ga AS (SELECT a.lam, a.i - b.i AS k, sum((a.x - mu) * (b.x - mu)) / any_value(mu.n) AS g, any_value(lag) AS lag, any_value(mu.n) AS n FROM d a JOIN mu USING (lam) JOIN d b ON b.lam = a.lam AND b.i <= a.i AND a.i - b.i <= lag GROUP BY 1, 2),
+om AS (SELECT lam, sqrt(greatest(sum(CASE WHEN k = 0 THEN g ELSE 2 * (1 - k / (lag + 1)) * g END), 1e-12) / any_value(n)) AS w FROM ga GROUP BY lam),
+st AS MATERIALIZED (SELECT lam, w, mu, mu AS upper, CASE WHEN mu >= -w * sqrt(greatest(2 * ln(ln(n)), 0)) THEN mu ELSE 0 END AS cons, greatest(mu, 0) AS lower FROM mu JOIN om USING (lam)),
+pl AS (SELECT b, i, n, CASE WHEN i = 0 OR {_unit_sql('new')} < 1.0::DOUBLE / block THEN floor({_unit_sql('start')} * n)::BIGINT END AS s FROM range(200) r(b), cal, bl),
+dr AS (SELECT b, (last_value(s IGNORE NULLS) OVER w + i - last_value(CASE WHEN s IS NOT NULL THEN i END IGNORE NULLS) OVER w) % n AS i FROM pl WINDOW w AS (PARTITION BY b ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+bm AS (SELECT b, lam, avg(x) AS m FROM dr JOIN d USING (i) GROUP BY ALL),
+z AS (SELECT b, greatest(max((m - lower) / w), 0) AS zl, greatest(max((m - cons) / w), 0) AS zc, greatest(max((m - upper) / w), 0) AS zu FROM bm JOIN st USING (lam) GROUP BY b),
+ob AS (SELECT greatest(max(mu / w), 0) AS t, arg_max(lam, mu / w) AS best FROM st)
+SELECT {tidy_sql('t')} AS test_statistic, best AS best_candidate, CAST(block AS INT) AS block_length, avg((zl >= t - 1e-9)::INT) AS p_lower, avg((zc >= t - 1e-9)::INT) AS p_consistent, avg((zu >= t - 1e-9)::INT) AS p_upper FROM z, ob, bl GROUP BY ALL""")
 def superior_ability_bootstrap(spark, root):
     # several branches read the daily returns (one row per session and book): cut the long plan once
     r = cut_lineage(book_returns(spark, root)).withColumn("excess", F.col("ret") - F.col("market"))
-    return ST.superior_ability(r, "lam", "trade_date", "excess", 200)
+    return t(ST.superior_ability(r, "lam", "trade_date", "excess", 200), "test_statistic")
 
 
 @query("covariance_shrunk", f"""WITH {RET_SQL}
@@ -410,7 +432,34 @@ def covariance_ledoit_wolf(spark, root):
 SELECT symbol, gain, risk FROM c a WHERE NOT EXISTS (SELECT 1 FROM c b WHERE b.symbol <> a.symbol AND b.gain >= a.gain AND b.risk <= a.risk AND (b.gain > a.gain OR b.risk < a.risk))""")
 def pareto_front(spark, root):
     c = factor_panel(spark, root).where("ret is not null").groupBy("symbol").agg(F.round(F.avg("ret"), 8).alias("gain"), F.round(F.stddev_samp("ret"), 8).alias("risk"))
-    return E.pareto_front(c, {"gain": 1, "risk": -1}, "symbol")
+    return FR.pareto_front(c, {"gain": 1, "risk": -1})
+
+
+OBJ_SQL = PANEL_SQL + ", c AS (SELECT symbol, round(avg(ret), 4) AS gain, round(stddev_samp(ret), 3) AS risk, round(avg(volume) / 10, 0) AS size, count(ret) AS seen FROM panel GROUP BY symbol)"
+
+
+def objective_table(spark, root):
+    return factor_panel(spark, root).groupBy("symbol").agg(
+        F.round(F.avg("ret"), 4).alias("gain"), F.round(F.stddev_samp("ret"), 3).alias("risk"), F.round(F.avg("volume") / 10, 0).alias("size"), F.count("ret").alias("seen"))
+
+
+@query("pareto_three_objectives", f"""WITH {OBJ_SQL}
+SELECT symbol, gain, risk, size FROM c a WHERE NOT EXISTS (SELECT 1 FROM c b WHERE b.gain >= a.gain AND b.risk <= a.risk AND b.size >= a.size AND (b.gain > a.gain OR b.risk < a.risk OR b.size > a.size))""")
+def pareto_three_objectives(spark, root):
+    """Rounded objectives, so that rows tie."""
+    return FR.pareto_front(objective_table(spark, root), {"gain": 1, "risk": -1, "size": 1}).select("symbol", "gain", "risk", "size")
+
+
+_SCALED = {c: f"(coalesce({c}, 0) - min(coalesce({c}, 0)) OVER ()) / CASE WHEN max(coalesce({c}, 0)) OVER () - min(coalesce({c}, 0)) OVER () < 1e-12 THEN 1 ELSE max(coalesce({c}, 0)) OVER () - min(coalesce({c}, 0)) OVER () END" for c in ("gain", "risk", "size")}
+
+
+@query("preference_rank", f"""WITH {OBJ_SQL},
+u AS (SELECT symbol, least(greatest({_SCALED['gain']}, 0), 1) * 0.5::DOUBLE AS cg, least(greatest(1 - {_SCALED['risk']}, 0), 1) * 0.375::DOUBLE AS cr, least(greatest({_SCALED['size']}, 0), 1) * 0.125::DOUBLE AS cs FROM c WHERE seen > 0),
+s AS (SELECT *, round(least(cg + cr + cs, 1), 6) AS preference_score FROM u)
+SELECT symbol, preference_score, CAST(dense_rank() OVER (ORDER BY preference_score DESC) AS INT) AS preference_rank, round(cg, 6) AS contribution_gain, round(cr, 6) AS contribution_risk, round(cs, 6) AS contribution_size FROM s""")
+def preference_rank(spark, root):
+    out = FR.preference_rank(objective_table(spark, root), {"gain": 1, "risk": -1, "size": 1}, {"gain": 4, "risk": 3, "size": 1}, "seen")
+    return out.select("symbol", "preference_score", "preference_rank", "contribution_gain", "contribution_risk", "contribution_size")
 
 
 @query("fold_robustness", f"""WITH {RET_SQL}, f AS (SELECT lam, year(trade_date) AS y, avg(ret - market) AS e, sqrt(252) * avg(ret) / stddev_samp(ret) AS s FROM rets GROUP BY ALL)

@@ -15,8 +15,10 @@ from tickloom.functions.columns import tidy
 from tickloom.operators import pit
 from tickloom.plans.inputs import BARS_SQL, PREDICTIONS_SQL, TICKS_SQL, bars, predictions, table, ticks, tidy_sql
 from tickloom.session import shared_folder
+from tickloom.sources import journal as JO
 from tickloom.sources import tables as TB
 from tickloom.streaming import events as ST
+from tickloom.streaming import ledger as LG
 
 
 def t(df, *cols):
@@ -95,6 +97,51 @@ def transition_audit(spark, root):
     return out.select("event_id", "symbol", "previous", "event_type", "legal")
 
 
+#: Deliveries of the events: most at once, then a second delivery with events held back and events sent again.
+ARRIVALS_SQL = f"WITH {TICKS_SQL}, a AS (SELECT *, 1 AS arrival FROM ticks WHERE event_id % 10 <> 3 UNION ALL SELECT *, 2 AS arrival FROM ticks WHERE event_id % 10 IN (3, 7))"
+STATES_SQL = f"""{ARRIVALS_SQL}, top AS (SELECT symbol, max((ts, event_id)) AS f FROM a WHERE arrival = 1 GROUP BY symbol),
+m AS (SELECT a.*, CASE WHEN arrival = 2 AND event_id % 10 = 7 THEN 'duplicate' WHEN arrival = 2 AND (ts, event_id) < f THEN 'late' ELSE 'ok' END AS verdict FROM a LEFT JOIN top USING (symbol)),
+p AS (SELECT *, lag(event_type) OVER (PARTITION BY symbol ORDER BY ts, event_id) AS previous FROM m WHERE verdict = 'ok'),
+i AS (SELECT symbol, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(event_type, (ts, event_id)) AS state, count(*) AS admitted, count(*) FILTER (previous IS NOT NULL AND (previous || '>' || event_type) NOT IN ({', '.join(f"'{a}>{b}'" for a, b in LEGAL)})) AS illegal FROM p GROUP BY symbol)
+SELECT symbol, i.event_id, state, admitted, illegal, count(*) FILTER (verdict = 'duplicate') AS duplicates, count(*) FILTER (verdict = 'late') AS late FROM i JOIN m USING (symbol) GROUP BY ALL"""
+STATE_COLUMNS = ["event_id", "state", "admitted", "illegal", "duplicates", "late"]
+
+
+def deliveries(spark, root):
+    e = ticks(spark, root).select("event_id", "symbol", "ts", "event_type")
+    k = F.col("event_id") % 10
+    return e.where(k != 3).withColumn("arrival", F.lit(1)).unionAll(e.where(k.isin(3, 7)).withColumn("arrival", F.lit(2)))
+
+
+@query("stream_key_states", STATES_SQL)
+def stream_key_states(spark, root):
+    """Both deliveries through the stateful stream, which is stopped between them and resumed from its checkpoint."""
+    folder, schema = scratch(spark), "event_id long, symbol long, ts timestamp, event_type string"
+    for arrival in (1, 2):
+        deliveries(spark, root).where(F.col("arrival") == arrival).drop("arrival").write.parquet(f"{folder}/in/arrival={arrival}")
+        stream = ST.file_stream(spark, f"{folder}/in/*", schema)
+        LG.run_ledger(stream, f"{folder}/out", f"{folder}/checkpoint", key="symbol", time="ts", ident="event_id", state="event_type", legal=LEGAL, keep=90 * 86400.0)
+    return LG.current_states(spark.read.parquet(f"{folder}/out")).select(F.col("key").alias("symbol"), *STATE_COLUMNS)
+
+
+@query("replayed_key_states", STATES_SQL)
+def replayed_key_states(spark, root):
+    out = LG.replay_states(deliveries(spark, root), "symbol", "ts", "event_id", "event_type", "arrival", LEGAL, F.date_trunc("day", F.col("ts")))
+    return out.select(F.col("key").alias("symbol"), *STATE_COLUMNS)
+
+
+@query("stream_refused_events", f"""{ARRIVALS_SQL}, top AS (SELECT symbol, max((ts, event_id)) AS f FROM a WHERE arrival = 1 GROUP BY symbol)
+SELECT symbol, event_id, CASE WHEN event_id % 10 = 7 THEN 'duplicate' ELSE 'late' END AS kind FROM a LEFT JOIN top USING (symbol) WHERE arrival = 2 AND (event_id % 10 = 7 OR (ts, event_id) < f)""")
+def stream_refused_events(spark, root):
+    """The ledger's side output: every redelivered and every late event by name."""
+    folder, schema = scratch(spark), "event_id long, symbol long, ts timestamp, event_type string"
+    for arrival in (1, 2):
+        deliveries(spark, root).where(F.col("arrival") == arrival).drop("arrival").write.parquet(f"{folder}/in/arrival={arrival}")
+        stream = ST.file_stream(spark, f"{folder}/in/*", schema)
+        LG.run_ledger(stream, f"{folder}/out", f"{folder}/checkpoint", key="symbol", time="ts", ident="event_id", state="event_type", legal=LEGAL, keep=90 * 86400.0)
+    return spark.read.parquet(f"{folder}/out").where("kind <> 'state'").select(F.col("key").alias("symbol"), "event_id", "kind")
+
+
 @query("same_bar_ambiguity", f"""WITH {BARS_SQL}, h AS (SELECT symbol, low <= open * 0.97 AS s, high >= open * 1.03 AS g FROM bars)
 SELECT CASE WHEN s AND g THEN 'stop' WHEN s THEN 'stop' WHEN g THEN 'target' ELSE 'none' END AS outcome, count(*) AS bars, count(*) FILTER (s AND g) AS ambiguous FROM h GROUP BY 1""")
 def same_bar_ambiguity(spark, root):
@@ -164,6 +211,42 @@ def journal_decisions(spark, root):
     return TB.journal_decisions(stored, incoming.drop("content_hash").join(incoming.select("symbol", "day", F.col("content_hash").alias("h")), ["symbol", "day"]), ["symbol", "day"], F.col("h")).select("symbol", "day", "decision")
 
 
+JOURNAL = "event_id long, size double, symbol long, day date"
+JOURNAL_KEYS = ["day", "symbol"]
+#: Two deliveries: all days but the last with symbols 0 to 39; then all days again, where every third symbol's sizes changed.
+JOURNAL_SQL = """WITH e AS (SELECT event_id, value AS size, user_id % 40 AS symbol, CAST(ts AS DATE) AS day FROM events),
+one AS (SELECT * FROM e WHERE day < (SELECT max(day) FROM e)), two AS (SELECT event_id, CASE WHEN symbol % 3 = 0 THEN size + 1 ELSE size END AS size, symbol, day FROM e)"""
+
+
+def journal(spark, root, supersede):
+    """Both deliveries appended to a new journal; the second delivery's receipts."""
+    folder = scratch(spark)
+    e = ticks(spark, root).select("event_id", "size", (F.col("symbol") % 40).alias("symbol"), F.to_date("ts").alias("day"))
+    last = e.agg(F.max("day")).first()[0]
+    JO.append_journal(e.where(F.col("day") < F.lit(last)), folder, JOURNAL_KEYS)
+    changed = e.withColumn("size", F.when(F.col("symbol") % 3 == 0, F.col("size") + 1).otherwise(F.col("size")))
+    return folder, JO.append_journal(changed, folder, JOURNAL_KEYS, supersede)
+
+
+@query("journal_append", f"""{JOURNAL_SQL} SELECT day, symbol, count(*) AS rows, CASE WHEN NOT EXISTS (SELECT 1 FROM one WHERE one.day = two.day AND one.symbol = two.symbol) THEN 'NEW' WHEN symbol % 3 = 0 THEN 'CONFLICT' ELSE 'DEDUPLICATED' END AS decision FROM two GROUP BY ALL""")
+def journal_append(spark, root):
+    return journal(spark, root, False)[1].select("day", "symbol", "rows", "decision")
+
+
+@query("journal_read", f"""{JOURNAL_SQL} SELECT event_id, size, symbol, day FROM two WHERE symbol IN (3, 4, 5) AND dayofmonth(day) % 2 = 0""")
+def journal_read(spark, root):
+    """After the second delivery superseded the first: the rows of named symbols and days, pruned by the join."""
+    folder, _ = journal(spark, root, True)
+    wanted = JO.inventory(spark, folder, JOURNAL, JOURNAL_KEYS).where("symbol IN (3, 4, 5) AND dayofmonth(day) % 2 = 0").select("day", "symbol")
+    return JO.read_journal(spark, folder, JOURNAL, JOURNAL_KEYS, wanted)
+
+
+@query("journal_inventory", f"""{JOURNAL_SQL}, n AS (SELECT day, symbol, count(*) AS rows FROM two GROUP BY ALL)
+SELECT day, symbol, rows, CASE WHEN symbol % 3 = 0 AND EXISTS (SELECT 1 FROM one WHERE one.day = n.day AND one.symbol = n.symbol) THEN 2 ELSE 1 END AS versions FROM n""")
+def journal_inventory(spark, root):
+    return JO.inventory(spark, journal(spark, root, True)[0], JOURNAL, JOURNAL_KEYS).select("day", "symbol", "rows", "versions")
+
+
 @query("static_export", f"WITH {PANEL_SQL} SELECT symbol, trade_date, mom, vlm, fwd5 FROM panel")
 def static_export(spark, root):
     return TB.static_export(factor_panel(spark, root), ["mom", "vlm"], ["fwd5"]).select("symbol", "trade_date", "features.mom", "features.vlm", "labels.fwd5")

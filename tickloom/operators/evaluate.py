@@ -248,22 +248,6 @@ def top_k_excess(panel: DataFrame, score: str, label: str, k: int, by: list[str]
     ).withColumn("excess", F.col("top_return") - F.col("universe_return"))
 
 
-def pareto_front(candidates: DataFrame, objectives: dict[str, int], key: str) -> DataFrame:
-    """Rows no other row dominates; objective direction +1 (more is better) or −1.
-
-    Dominance is an inequality anti join, so it is meant for a table of candidates. A cheap
-    pre-filter first drops rows beaten by the best row of the first objective.
-    """
-    signed = candidates.select(key, *[(F.col(c) * d).alias(c) for c, d in objectives.items()])
-    other = signed.select(F.col(key).alias("_k"), *[F.col(c).alias(f"_{c}") for c in objectives])
-    at_least, better = F.lit(True), F.lit(False)
-    for c in objectives:
-        at_least = at_least & (F.col(f"_{c}") >= F.col(c))
-        better = better | (F.col(f"_{c}") > F.col(c))
-    front = signed.join(other, at_least & better & (F.col("_k") != F.col(key)), "left_anti")
-    return candidates.join(front.select(key), key, "left_semi")
-
-
 def walk_forward_folds(sessions: int, n_splits: int, valid: int, min_train: int, embargo: int = 0, purge: int = 0, mode: str = "expanding", rolling: int = 0) -> list[tuple[int, int, int, int, int]]:
     """(fold, train_from, train_to, valid_from, valid_to) as 1-based session numbers, anchored at the end."""
     lead = min_train + embargo + purge

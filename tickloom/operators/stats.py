@@ -161,15 +161,57 @@ def overfitting_probability(perf: DataFrame, strategy: str, slot: str, value: st
     )
 
 
-def superior_ability(excess: DataFrame, candidate: str, order: str, value: str, replicates: int = 500, block: int = 5, seed: int = 7) -> DataFrame:
+def block_length(series: DataFrame, order: str, value: str) -> DataFrame:
+    """One row (n, block): the stationary bootstrap's mean block length from the series' own autocorrelations.
+
+    Autocorrelations count up to the first one inside the noise band, none beyond it. A series has one value a
+    session, so its array is bounded by the calendar; short or constant series have blocks of 1.
+    """
+    packed = series.where(F.col(value).isNotNull()).groupBy().agg(
+        F.transform(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).cast("double").alias("v")))), lambda s: s["v"]).alias("_v"),
+        F.avg(value).alias("_mean"), F.var_pop(value).alias("_var"), F.count(F.lit(1)).alias("n"),
+    )
+    n = F.col("n")
+    lags = F.least(n - 1, F.floor(8.0 * F.pow(n / 100.0, F.lit(1.0 / 3.0))) + 1).cast("int")
+    work = packed.withColumns({"_c": F.transform("_v", lambda v: v - F.col("_mean")), "_lags": lags})
+
+    def auto(k: Column) -> Column:
+        pairs = F.zip_with(F.slice("_c", k + 1, F.col("n").cast("int") - k), F.slice("_c", F.lit(1), F.col("n").cast("int") - k), lambda x, y: x * y)
+        return F.aggregate(pairs, F.lit(0.0), lambda s, v: s + v) / F.col("n") / F.col("_var")
+
+    usable = (n >= 8) & (F.col("_var") > 1e-15)
+    work = work.withColumn("_a", F.when(usable, F.transform(F.sequence(F.lit(1), F.col("_lags")), auto)))
+    band = 2.0 * F.sqrt(F.log10(n.cast("double")) / n)
+    quiet = F.array_position(F.transform("_a", lambda r: F.abs(r) < band), True)
+    counted = F.when(quiet > 0, F.slice("_a", F.lit(1), (quiet - 1).cast("int"))).otherwise(F.col("_a"))
+    work = work.withColumn("_s", counted)
+    g = F.aggregate(F.transform("_s", lambda r, i: 2.0 * (i + 1) * r), F.lit(0.0), lambda s, v: s + v)
+    sigma = F.aggregate("_s", F.col("_var"), lambda s, r: s + 2.0 * r)
+    best = F.bround(F.pow(2.0 * g * g / (sigma * sigma), F.lit(1.0 / 3.0)) * F.pow(n.cast("double"), F.lit(1.0 / 3.0)))
+    block = F.when(usable & (sigma > 1e-15), F.greatest(F.lit(1), F.least(F.floor(n / 2), best.cast("long")))).otherwise(1)
+    return work.select("n", block.cast("int").alias("block"))
+
+
+def portable_uniform(*parts: Column) -> Column:
+    """A number in [0, 1) from the MD5 digest of the parts: any engine draws the same."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *[p.cast("string") for p in parts]).cast("binary")), 1, 13), 16, 10).cast("double") / float(1 << 52)
+
+
+def superior_ability(excess: DataFrame, candidate: str, order: str, value: str, replicates: int = 500, block: int | None = None, seed: int = 7) -> DataFrame:
     """Stationary-bootstrap test that no candidate beats the benchmark (lower, consistent, upper p).
 
-    Replicates are rows; each draws its own session indices from a seeded generator in Arrow
-    batches, joins the indexed returns and aggregates — no replicate touches the driver.
+    Only sessions that every candidate has count, so one draw of sessions serves all. The mean block length is taken
+    from the candidates' mean excess unless ``block`` is given. Draws are digests of (seed, replicate, place), so they
+    do not depend on an engine's generator; replicate × session rows are drawn, folded and joined in the JVM.
     """
     spark = excess.sparkSession
-    numbered = excess.where(F.col(value).isNotNull()).withColumn("_i", F.row_number().over(Window.partitionBy(candidate).orderBy(order)) - 1)
-    hac = newey_west(excess, [candidate], order, value)
+    known = excess.where(F.col(value).isNotNull())
+    every = known.agg(F.count_distinct(candidate).alias("_all"))
+    common = known.groupBy(order).agg(F.count_distinct(candidate).alias("_k"), F.avg(value).alias("_mean")).join(F.broadcast(every)).where("_k = _all")
+    calendar = cut_lineage(common.select(order, "_mean", (F.row_number().over(Window.orderBy(order)) - 1).cast("long").alias("_i")))  # one row per session
+    numbered = cut_lineage(known.join(F.broadcast(calendar.select(order, "_i")), order).select(candidate, order, "_i", value))
+    chosen = block_length(calendar, order, "_mean") if block is None else calendar.agg(F.count(F.lit(1)).alias("n")).withColumn("block", F.lit(block))
+    hac = newey_west(numbered, [candidate], order, value)
     stats = hac.select(candidate, F.col("n").alias("_n"), F.col("mean").alias("_mu"), (F.col("mean") / F.col("t_stat")).alias("_w"))
     stats = stats.where(F.col("_w") > 0)
     bound = -F.col("_w") * F.sqrt(F.greatest(2 * F.ln(F.ln(F.col("_n").cast("double"))), F.lit(0.0)))
@@ -177,22 +219,13 @@ def superior_ability(excess: DataFrame, candidate: str, order: str, value: str,
         "_upper": F.col("_mu"), "_cons": F.when(F.col("_mu") >= bound, F.col("_mu")).otherwise(0.0), "_lower": F.greatest("_mu", F.lit(0.0))
     })
     stats = cut_lineage(stats.select(candidate, "_w", "_mu", "_upper", "_cons", "_lower"))  # one row per candidate, read three times
-    length = numbered.agg((F.max("_i") + 1).alias("_len"))
-
-    def draw(batches):
-        for part in batches:
-            for b, n in zip(part["b"].tolist(), part["_len"].tolist()):
-                rng = np.random.default_rng([seed, b])
-                fresh = rng.random(n) < 1.0 / block
-                fresh[0] = True
-                starts = rng.integers(0, n, n)
-                last = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
-                idx = (starts[last] + np.arange(n) - last) % n
-                counts = np.bincount(idx, minlength=n)
-                hit = np.flatnonzero(counts)
-                yield pd.DataFrame({"b": b, "_i": hit, "_times": counts[hit]})
-
-    draws = spark.range(replicates).toDF("b").crossJoin(F.broadcast(length)).mapInPandas(draw, "b long, _i long, _times long")
+    places = spark.range(replicates).select(F.col("id").alias("b")).join(F.broadcast(calendar.select("_i"))).join(F.broadcast(chosen))
+    u = lambda what: portable_uniform(F.lit(seed), F.col("b"), F.col("_i"), F.lit(what))
+    fresh = (F.col("_i") == 0) | (u("new") < 1.0 / F.col("block"))
+    w = Window.partitionBy("b").orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
+    begun = F.last(F.when(fresh, F.struct(F.floor(u("start") * F.col("n")).alias("s"), F.col("_i").alias("at"))), ignorenulls=True).over(w)
+    drawn = places.withColumn("_f", begun).select("b", ((F.col("_f.s") + F.col("_i") - F.col("_f.at")) % F.col("n")).alias("_i"))
+    draws = drawn.groupBy("b", "_i").agg(F.count(F.lit(1)).alias("_times"))
     sums = draws.join(numbered.select(candidate, "_i", value), "_i").groupBy("b", candidate).agg(
         (F.sum(F.col(value) * F.col("_times")) / F.sum("_times")).alias("_bm")
     )
@@ -200,8 +233,9 @@ def superior_ability(excess: DataFrame, candidate: str, order: str, value: str,
         F.greatest(F.max((F.col("_bm") - F.col(c)) / F.col("_w")), F.lit(0.0)).alias(c) for c in ("_lower", "_cons", "_upper")
     ])
     observed = stats.agg(F.greatest(F.max(F.col("_mu") / F.col("_w")), F.lit(0.0)).alias("test_statistic"), F.max_by(candidate, F.col("_mu") / F.col("_w")).alias("best_candidate"))
-    return z.crossJoin(F.broadcast(observed)).groupBy("test_statistic", "best_candidate").agg(*[
-        F.avg((F.col(c) >= F.col("test_statistic")).cast("double")).alias(n) for c, n in (("_lower", "p_lower"), ("_cons", "p_consistent"), ("_upper", "p_upper"))
+    observed = observed.join(F.broadcast(chosen.select(F.col("block").alias("block_length"))))  # one row each
+    return z.join(F.broadcast(observed)).groupBy("test_statistic", "best_candidate", "block_length").agg(*[
+        F.avg((F.col(c) >= F.col("test_statistic") - 1e-9).cast("double")).alias(n) for c, n in (("_lower", "p_lower"), ("_cons", "p_consistent"), ("_upper", "p_upper"))
     ])
 
 
