@@ -1,5 +1,6 @@
 """Style factors, regressions, slow waves, skylines and pattern matching against plain versions."""
 
+import datetime as dt
 import itertools
 
 import numpy as np
@@ -76,7 +77,7 @@ def test_style_factors_and_ladder(spark):
 def test_slow_wave_share_is_the_spectrum(spark, bars):
     rng = np.random.default_rng(bars)
     v = rng.integers(0, 1000, bars).astype(float)
-    rows = [("a", pd.Timestamp("2024-01-02 09:00") + pd.Timedelta(minutes=i), 1.0, 1.0 + i, float(x), 2.0 * float(x)) for i, x in enumerate(v)]
+    rows = [("a", dt.datetime(2024, 1, 2, 9) + dt.timedelta(minutes=i), 1.0, 1.0 + i, float(x), 2.0 * float(x)) for i, x in enumerate(v)]
     rows += [("z", r[1], 1.0, 1.0, 3.0, 1.0) for r in rows]
     df = spark.createDataFrame(rows, "symbol string, bar_time timestamp, open double, close double, volume double, amount double").withColumn("trade_date", F.to_date("bar_time"))
     got = {r.symbol: r.crowding_fft_ratio for r in HF.intraday_shape(df).collect()}
@@ -87,7 +88,7 @@ def test_slow_wave_share_is_the_spectrum(spark, bars):
 
 def test_shape_matches_pandas(spark):
     rng = np.random.default_rng(1)
-    rows = [(s, pd.Timestamp("2024-01-02 09:00") + pd.Timedelta(days=d, minutes=i), float(o), float(o + rng.normal(0, 0.1)), float(rng.integers(1, 9)), float(rng.random() * 1e4)) for s in "ab" for d in range(3) for i, o in enumerate(10 + rng.random(40))]
+    rows = [(s, dt.datetime(2024, 1, 2, 9) + dt.timedelta(days=d, minutes=i), float(o), float(o + rng.normal(0, 0.1)), float(rng.integers(1, 9)), float(rng.random() * 1e4)) for s in "ab" for d in range(3) for i, o in enumerate(10 + rng.random(40))]
     df = spark.createDataFrame(rows, "symbol string, bar_time timestamp, open double, close double, volume double, amount double").withColumn("trade_date", F.to_date("bar_time"))
     got = HF.intraday_shape(df, edge=30).toPandas().set_index(["symbol", "trade_date"]).sort_index()
     p = df.toPandas()
