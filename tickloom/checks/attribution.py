@@ -163,9 +163,10 @@ def _corr(x: str, y: str) -> str:
 d AS (SELECT symbol, trade_date, arg_min(open, bar_time) AS open, max(high) AS high, min(low) AS low, arg_max(close, bar_time) AS close, sum(volume) AS volume, sum(amount) AS amount FROM mb GROUP BY ALL),
 a AS (SELECT *, lag(close) {WD}) AS pc, CASE WHEN volume <= 0 THEN close ELSE amount / volume END AS vwap, CASE WHEN count(*) {F8} = 8 THEN avg(amount) {F8} END AS am, CASE WHEN count(*) {F8} = 8 THEN sum(volume) {F8} END AS vs, volume / lag(volume) {WD}) - 1 AS dv FROM d),
 c AS MATERIALIZED (SELECT *, close / pc - 1 AS r, lag(dv) {WD}) AS ldv FROM a)
-SELECT symbol, trade_date, {cells(*MICRO)} FROM (SELECT symbol, trade_date, close / vwap - 1 AS last_30min_return, abs(r) / (amount / 1e8) AS daily_amihud, {_corr('r', 'dv')} AS close_volume_corr, {_corr('r', 'ldv')} AS lead_lag_price_volume_corr, volume / vs AS turnover_concentration,
+SELECT symbol, trade_date, round(daily_amihud, 3) + 0.0 AS daily_amihud, {cells(*(m for m in MICRO if m != 'daily_amihud'))} FROM (SELECT symbol, trade_date, close / vwap - 1 AS last_30min_return, abs(r) / (amount / 1e8) AS daily_amihud, {_corr('r', 'dv')} AS close_volume_corr, {_corr('r', 'ldv')} AS lead_lag_price_volume_corr, volume / vs AS turnover_concentration,
  CASE WHEN stddev_pop(amount) OVER (PARTITION BY trade_date) > 1e-12 THEN (amount - avg(amount) OVER (PARTITION BY trade_date)) / stddev_pop(amount) OVER (PARTITION BY trade_date) END AS amount_zscore,
  (close - open) / nullif(high - low, 0) * (amount / am) AS money_flow_strength, (open / pc - 1) * (amount / am) AS opening_flow_ratio, (close / vwap - 1) * (amount / am) AS closing_flow_ratio FROM c)""")
 def daily_microstructure(spark, root):
     out = HF.daily_microstructure(HF.daily_bars(minute_bars(spark, root)), 8)
-    return t(out, *MICRO).select("symbol", "trade_date", *MICRO)
+    rest = [m for m in MICRO if m != "daily_amihud"]
+    return t(out, *rest).withColumn("daily_amihud", F.round("daily_amihud", 3) + 0.0).select("symbol", "trade_date", *MICRO)

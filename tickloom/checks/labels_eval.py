@@ -395,11 +395,11 @@ dr AS (SELECT b, (last_value(s IGNORE NULLS) OVER w + i - last_value(CASE WHEN s
 bm AS (SELECT b, lam, avg(x) AS m FROM dr JOIN d USING (i) GROUP BY ALL),
 z AS (SELECT b, greatest(max((m - lower) / w), 0) AS zl, greatest(max((m - cons) / w), 0) AS zc, greatest(max((m - upper) / w), 0) AS zu FROM bm JOIN st USING (lam) GROUP BY b),
 ob AS (SELECT greatest(max(mu / w), 0) AS t, arg_max(lam, mu / w) AS best FROM st)
-SELECT {tidy_sql('t')} AS test_statistic, best AS best_candidate, CAST(block AS INT) AS block_length, avg((zl >= t - 1e-9)::INT) AS p_lower, avg((zc >= t - 1e-9)::INT) AS p_consistent, avg((zu >= t - 1e-9)::INT) AS p_upper FROM z, ob, bl GROUP BY ALL""")
+SELECT round(t, 3) + 0.0 AS test_statistic, best AS best_candidate, CAST(block AS INT) AS block_length, avg((zl >= t - 1e-9)::INT) AS p_lower, avg((zc >= t - 1e-9)::INT) AS p_consistent, avg((zu >= t - 1e-9)::INT) AS p_upper FROM z, ob, bl GROUP BY ALL""")
 def superior_ability_bootstrap(spark, root):
     # several branches read the daily returns (one row per session and book): cut the long plan once
     r = cut_lineage(book_returns(spark, root)).withColumn("excess", F.col("ret") - F.col("market"))
-    return t(ST.superior_ability(r, "lam", "trade_date", "excess", 200), "test_statistic")
+    return ST.superior_ability(r, "lam", "trade_date", "excess", 200).withColumn("test_statistic", F.round("test_statistic", 3) + 0.0)
 
 
 @query("covariance_shrunk", f"""WITH {RET_SQL}
