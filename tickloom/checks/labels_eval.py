@@ -118,7 +118,7 @@ def label_triple_barrier(spark, root):
 cal AS (SELECT DISTINCT trade_date AS d FROM bars),
 e AS (SELECT symbol, trade_date AS t0, lead(trade_date, 4) {W} AS t1 FROM bars),
 c AS (SELECT e.symbol, cal.d, count(*) AS open FROM e JOIN cal ON cal.d BETWEEN e.t0 AND e.t1 GROUP BY ALL)
-SELECT e.symbol, e.t0, e.t1, {tidy_sql("avg(1.0::DOUBLE / c.open)")} AS uniqueness FROM e LEFT JOIN c ON c.symbol = e.symbol AND c.d BETWEEN e.t0 AND e.t1 GROUP BY ALL""")
+SELECT symbol, t0, t1, {tidy_sql("coalesce(u, avg(u) OVER (PARTITION BY symbol))")} AS uniqueness FROM (SELECT e.symbol, e.t0, e.t1, avg(1.0::DOUBLE / c.open) AS u FROM e LEFT JOIN c ON c.symbol = e.symbol AND c.d BETWEEN e.t0 AND e.t1 GROUP BY ALL)""")
 def label_uniqueness_weights(spark, root):
     w = Window.partitionBy("symbol").orderBy("trade_date")
     b = bars(spark, root).select("symbol", "trade_date")

@@ -137,7 +137,7 @@ def triple_barrier(panel: DataFrame, sigma: str, take: float = 2.0, stop: float
 
 
 def uniqueness_weights(events: DataFrame, sessions: DataFrame, start: str, end: str) -> DataFrame:
-    """Mean of 1 / concurrency over each event's sessions, per symbol.
+    """Mean of 1 / concurrency over each event's sessions, per symbol; an unfinished event takes its symbol's mean.
 
     Concurrency per session is a sweep over event edges; the mean over a span is a difference of
     two running sums of 1 / concurrency, so no event × day pairs are formed.
@@ -157,9 +157,11 @@ def uniqueness_weights(events: DataFrame, sessions: DataFrame, start: str, end:
     }).where(F.col("_s").isNotNull())
     a = line.select("symbol", F.col("_d").alias(start), (F.col("_sum") - F.coalesce("_share", F.lit(0.0))).alias("_s0"), (F.col("_cnt") - F.col("_share").isNotNull().cast("int")).alias("_c0"))
     b = line.select("symbol", F.col("_d").alias(end), F.col("_sum").alias("_s1"), F.col("_cnt").alias("_c1"))
-    return events.join(a, ["symbol", start], "left").join(b, ["symbol", end], "left").withColumn(
+    known = events.join(a, ["symbol", start], "left").join(b, ["symbol", end], "left").withColumn(
         "uniqueness", ratio(F.col("_s1") - F.col("_s0"), F.col("_c1") - F.col("_c0"))
     ).drop("_s0", "_c0", "_s1", "_c1")
+    means = known.groupBy("symbol").agg(F.avg("uniqueness").alias("_mean"))
+    return known.join(means, "symbol").withColumn("uniqueness", F.coalesce("uniqueness", "_mean")).drop("_mean")
 
 
 def meta_label(signal: Column, label: Column, score: Column, threshold: float = 0.5) -> Column:
