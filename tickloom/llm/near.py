@@ -324,10 +324,10 @@ def kept_rows(df: DataFrame, id: str = "doc_id", text: str = "text", p: Near = N
     """The rows of ``df`` that ``near_duplicates`` keeps, with all their columns. Where an id stands for several texts,
     only the rows of its dropped texts go."""
     rows = stored(near_rows(df, id, text, p), "near-rows")
-    gone = rows.filter("id <> component").select("id", "class").distinct()
+    gone = stored(rows.filter("id <> component").select("id", "class").distinct(), "near-gone")  # its size is known to the joins below
     mixed = rows.join(gone.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.max(F.col("id") == F.col("component")).alias("some")).filter("some").select("id")
-    name, word = "__near_id__", "__near_class__"
-    plain = df.join(gone.select(F.col("id").alias(name)).distinct(), F.col(id) == F.col(name), "left_anti")
+    mixed, name, word = stored(mixed, "near-mixed"), "__near_id__", "__near_class__"
+    plain = df.join(gone.select(F.col("id").alias(name)), F.col(id) == F.col(name), "left_anti")
     several = classed(df.join(mixed.withColumnRenamed("id", name), F.col(id) == F.col(name), "left_semi"), text, word)
     apart = several.join(gone.select(F.col("id").alias(name), F.col("class").alias("__gone__")), (F.col(id) == F.col(name)) & (F.col(word) == F.col("__gone__")), "left_anti")
     return plain.unionByName(apart.drop(word))
