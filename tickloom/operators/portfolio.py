@@ -170,10 +170,11 @@ def fifo_matches(fills: DataFrame, order: list[str]) -> DataFrame:
 
     The k-th share bought meets the k-th share sold. Interval edges of both sides are stacked and
     swept: every piece between two neighbouring edges belongs to one buy and one sell, so there
-    are at most buys + sells pieces and no pair join at all.
+    are at most buys + sells pieces and no pair join at all. A fill of nothing has no interval; left in, it
+    would stand at the edge of the fill before it and take its place.
     """
     w = Window.partitionBy("symbol", "side").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    edge = fills.withColumn("_to", F.sum("quantity").over(w))
+    edge = fills.where("quantity > 0").withColumn("_to", F.sum("quantity").over(w))
     lot = F.struct(F.col(order[0]).alias("at"), F.col("price").alias("price"))
     e = edge.select("symbol", "_to", F.when(F.col("side") == "buy", lot).alias("_b"), F.when(F.col("side") == "sell", lot).alias("_s"))
     cuts = e.groupBy("symbol", "_to").agg(F.max("_b").alias("_b"), F.max("_s").alias("_s"))
