@@ -8,6 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tickloom.operators import applicability
 from tickloom.operators import attribution as AT
 from tickloom.operators import frontier as FR
 from tickloom.operators import highfreq as HF
@@ -140,3 +141,15 @@ def test_block_length_and_common_calendar(spark):
     rows = [("a", i, 0.1) for i in range(40)] + [("b", i, 0.2 * (-1) ** i) for i in range(10, 60)]
     df = spark.createDataFrame(rows, "name string, t int, r double").withColumn("r", F.col("r") + F.rand(1) * 0.01)
     assert ST.superior_ability(df, "name", "t", "r", 50).first().best_candidate == "a"
+
+
+def test_slice_metrics_fold_whole_dates_as_the_long_form_does(spark):
+    """Whole dates and the long form agree, also with ties and unknown slices; a slice's rows never reach a shuffle."""
+    rows = [(d, s, None if s % 7 == 3 else "ab"[s % 2], float((s * 7 + d * d) % 5), float((s * s + 3 * d) % 11) if (s + d) % 9 else None, s / 8.0) for d in range(12) for s in range(40)]
+    panel = spark.createDataFrame(rows, "d int, symbol long, concept string, x double, y double, z double").selectExpr("date_add(DATE '2020-01-01', d) AS trade_date", "*")
+    whole = applicability.panel_metrics(panel, ["x", "z"], {1: "y", 5: "x"}, ["concept"])
+    long = applicability.slice_metrics(applicability.sliced(panel, ["x", "z"], {1: "y", 5: "x"}, ["concept"]))
+    said = lambda df: sorted([tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.select(*long.columns).collect()], key=repr)
+    assert said(whole) == said(long) and len(said(whole)) == 12
+    plan = whole._jdf.queryExecution().executedPlan().toString()
+    assert "Window" in plan and plan.count("MapInArrow") == 1

@@ -11,7 +11,8 @@ from tickloom.functions.columns import tidy
 from tickloom.operators import applicability as AP
 from tickloom.operators import matching as MA
 from tickloom.plans.inputs import SECTORS_SQL, sectors, table, tidy_sql
-from tickloom.session import cut_lineage
+from tickloom.session import cut_lineage, stored
+from tickloom.sizes import broadcast_if_small
 
 
 def t(df, *cols):
@@ -48,13 +49,13 @@ METRICS = ["rank_ic", "rank_icir", "hit_rate", "crowding_score"]
 
 
 def slice_panel(spark, root):
-    names = sectors(spark, root).select("symbol", "sector", "concept")
-    return cut_lineage(factor_panel(spark, root).join(names, "symbol").select("symbol", "trade_date", *SLICES, *FACTORS, *LABELS.values()))
+    names = broadcast_if_small(sectors(spark, root).select("symbol", "sector", "concept"))
+    return stored(factor_panel(spark, root).join(names, "symbol").select("symbol", "trade_date", *SLICES, *FACTORS, *LABELS.values()), "slices")
 
 
 @query("factor_slices", f"{SLICE_SQL} SELECT {_KEY}, samples, symbols, dates, {cells(*METRICS)} FROM sl")
 def factor_slices(spark, root):
-    return t(AP.slice_metrics(AP.sliced(slice_panel(spark, root), FACTORS, LABELS, SLICES)), *METRICS)
+    return t(AP.panel_metrics(slice_panel(spark, root), FACTORS, LABELS, SLICES), *METRICS)
 
 
 @query("factor_applicability", f"""{SLICE_SQL}, ok AS (SELECT *, rank_icir >= 0.01 AND hit_rate >= 0.48 AND crowding_score <= 0.75 AS ok FROM sl),
