@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import pandas as pd
 import pytest
 
 from tickloom.sources import journal as JO
@@ -101,3 +102,19 @@ def test_journal_read_prunes_by_the_joined_table(spark, tmp_path):
     assert "dynamicpruning" in plan.lower()
     counted = JO.inventory(spark, root, JOURNAL, KEYS)._jdf.queryExecution().executedPlan().toString()
     assert "/data" not in counted
+
+
+def test_a_key_reads_and_writes_its_state_once_a_batch():
+    class Held:
+        exists, get, reads, writes = False, None, 0, 0
+
+        def update(self, value):
+            self.exists, self.get, self.writes = True, value, self.writes + 1
+
+    held, fold = Held(), LG.key_ledger(LEGAL, 60.0)
+    for start in (0, 1500):
+        rows = pd.DataFrame({"event_time": [i * 1_000_000 for i in range(start, start + 2000)], "event_id": range(start, start + 2000), "state": ["a", "b"] * 1000})
+        out = pd.concat(list(fold((7,), iter([rows.iloc[:900], rows.iloc[900:]]), held)))
+    assert held.writes == 2 and len(held.get[-1]) == 61  # ids of the last minute
+    assert out["kind"].value_counts().to_dict() == {"late": 439, "duplicate": 61, "state": 1}
+    assert out.iloc[-1][["admitted", "duplicates", "late", "seen"]].tolist() == [3500, 61, 439, 4000]

@@ -2,61 +2,61 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tickloom.operators.series import previous_value
 
-#: Fixed value: the state store that keeps lists and maps per key.
+#: Fixed value: the state store that keeps large states outside the heap.
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-_HELD = "at timestamp, id long, state string, admitted long, illegal long, duplicates long, late long"
+_HELD = "at long, id long, state string, admitted long, illegal long, duplicates long, late long, ids array<long>, seen array<long>"
 LEDGER = "kind string, event_id long, event_time timestamp, state string, admitted long, illegal long, duplicates long, late long, seen long"
 
 
-class KeyLedger(StatefulProcessor):
+def key_ledger(legal: list[tuple[str, str]], keep: float) -> Callable[[tuple, Iterator[pd.DataFrame], GroupState], Iterator[pd.DataFrame]]:
     """What is known of one key: its current state, and how many events were admitted, repeated or late.
 
     An event is a duplicate when its id was seen, and late when it sorts before the last admitted one. Ids are kept
     for ``keep`` seconds of event time behind the last admitted event; an older event is late whether seen or not, so
-    nothing is taken in twice and the memory of a key is bounded.
+    nothing is taken in twice and the memory of a key is bounded. The state comes and goes with the key's rows, so no
+    event asks the state store by itself. Times are microseconds.
     """
-
-    def __init__(self, legal: list[tuple[str, str]], keep: float) -> None:
-        self.legal, self.keep = set(legal), pd.Timedelta(seconds=keep)
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.held = handle.getValueState("held", _HELD)
-        self.ids = handle.getMapState("ids", "id long", "at timestamp")
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["event_time", "event_id"], kind="stable")
-        at, last, state, admitted, illegal, duplicates, late = self.held.get() if self.held.exists() else (pd.NaT, 0, None, 0, 0, 0, 0)
-        frontier = None if pd.isna(at) else (pd.Timestamp(at), last)  # of earlier batches and of this one
+    allowed, behind, columns = set(legal), round(keep * 1e6), ["key", *[f.split()[0] for f in LEDGER.split(", ")]]
+
+    def fold(key: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        rows: list[tuple] = []
+        for frame in frames:
+            rows.extend(zip(frame["event_time"].tolist(), frame["event_id"].tolist(), frame["state"].tolist(), strict=True))
+        rows.sort(key=lambda r: r[:2])
+        at, last, state, admitted, illegal, duplicates, late, known, seen = held.get if held.exists else (None, 0, None, 0, 0, 0, 0, [], [])
+        frontier = None if at is None else (int(at), int(last))  # of earlier batches and of this one
+        ids = dict(zip([int(i) for i in known], [int(t) for t in seen], strict=True))
         out = []
-        for time, ident, kind in zip(batch["event_time"], batch["event_id"].tolist(), batch["state"].tolist(), strict=True):
-            if self.ids.containsKey((ident,)):
+        for time, ident, kind in rows:
+            if ident in ids:
                 duplicates += 1
                 out.append(("duplicate", ident, time, kind))
             elif frontier is not None and (time, ident) < frontier:
                 late += 1
                 out.append(("late", ident, time, kind))
             else:
-                illegal += int(state is not None and (state, kind) not in self.legal)
+                illegal += int(state is not None and (state, kind) not in allowed)
                 frontier, state, admitted = (time, ident), kind, admitted + 1
-                self.ids.updateValue((ident,), (time,))
+                ids[ident] = time
         if frontier is not None:
-            for (ident,), (seen,) in list(self.ids.iterator()):
-                if pd.Timestamp(seen) < frontier[0] - self.keep:
-                    self.ids.removeKey((ident,))
-            self.held.update((frontier[0].to_pydatetime(), frontier[1], state, admitted, illegal, duplicates, late))
+            ids = {i: t for i, t in ids.items() if t >= frontier[0] - behind}
+            held.update((*frontier, state, admitted, illegal, duplicates, late, list(ids), list(ids.values())))
         counts = (admitted, illegal, duplicates, late, admitted + duplicates + late)
         out.append(("state", frontier[1], frontier[0], state))
-        yield pd.DataFrame([(*key, *row, *counts) for row in out], columns=["key", *[f.split()[0] for f in LEDGER.split(", ")]])
+        yield pd.DataFrame([(*key, *row, *counts) for row in out], columns=columns)
+
+    return fold
 
 
 def key_states(events: DataFrame, key: str, time: str, ident: str, state: str, legal: list[tuple[str, str]], keep: float) -> DataFrame:
@@ -64,10 +64,12 @@ def key_states(events: DataFrame, key: str, time: str, ident: str, state: str, l
 
     Micro-batches are bounded by the source's options; a key's rows of one batch meet in its task, as its state does.
     """
-    told = events.select(F.col(key).alias("key"), F.col(time).alias("event_time"), F.col(ident).alias("event_id"), F.col(state).alias("state"))
+    told = events.select(F.col(key).alias("key"), F.unix_micros(F.col(time).cast("timestamp")).alias("event_time"), F.col(ident).alias("event_id"), F.col(state).alias("state"))
     kind = dict(told.dtypes)["key"]
     grouped = told.where("event_time IS NOT NULL AND event_id IS NOT NULL").groupBy("key")
-    return grouped.transformWithStateInPandas(KeyLedger(legal, keep), f"key {kind}, {LEDGER}", "Append", "None")
+    schema = f"key {kind}, {LEDGER.replace('event_time timestamp', 'event_time long')}"
+    out = grouped.applyInPandasWithState(key_ledger(legal, keep), schema, _HELD, "append", GroupStateTimeout.NoTimeout)
+    return out.withColumn("event_time", F.timestamp_micros("event_time"))
 
 
 def run_ledger(events: DataFrame, out: str, checkpoint: str, **kw: Any) -> StreamingQuery:
