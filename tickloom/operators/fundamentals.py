@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -159,16 +161,28 @@ def dcf_value(cash: Column, growth: Column, discount: Column, terminal: float =
 
 
 def reverse_dcf(price: Column, cash: Column, discount: Column, terminal: float = 0.02, years: int = 5, lo: float = -0.5, hi: float = 1.0, steps: int = 60) -> Column:
-    """Growth rate at which the DCF equals the price, by bisection folded over a fixed number of steps."""
-    start = F.struct(F.lit(lo).alias("a"), F.lit(hi).alias("b"))
+    """Growth rate at which the DCF equals the price, by bisection over a fixed number of steps.
 
-    def halve(s: Column, _: Column) -> Column:
-        mid = (s["a"] + s["b"]) / 2
-        low = dcf_value(cash, mid, discount, terminal, years) < price
-        return F.struct(F.when(low, mid).otherwise(s["a"]).alias("a"), F.when(low, s["b"]).otherwise(mid).alias("b"))
+    A value is cash times a polynomial in (1 + growth) / (1 + discount), so a step is a few array operations for all
+    rows of a batch and no power is taken.
+    """
 
-    end = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, halve)
-    return F.when((cash > 0) & (discount > terminal), (end["a"] + end["b"]) / 2)
+    @F.pandas_udf("double")
+    def root(p: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
+        p, c, d = (x.to_numpy(dtype="float64", na_value=np.nan) for x in (p, c, d))
+        a, b = np.full(len(p), lo), np.full(len(p), hi)
+        with np.errstate(all="ignore"):
+            for _ in range(steps):
+                mid = (a + b) / 2
+                q = (1 + mid) / (1 + d)
+                value = (1 + terminal) / (d - terminal)
+                for _ in range(years):
+                    value = (value + 1) * q
+                low = c * value < p
+                a, b = np.where(low, mid, a), np.where(low, b, mid)
+        return pd.Series((a + b) / 2)
+
+    return F.when((cash > 0) & (discount > terminal), root(price.cast("double"), cash.cast("double"), discount.cast("double")))
 
 
 def peg(pe: Column, growth: Column) -> tuple[Column, Column]:
