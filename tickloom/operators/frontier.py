@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickloom.functions.columns import rounded
 from tickloom.session import stored
 
 #: Points that one task compares with one another.
@@ -128,8 +129,8 @@ def preference_rank(candidates: DataFrame, objectives: dict[str, int], weights:
         return F.least(F.greatest(u if d > 0 else 1.0 - u, F.lit(0.0)), F.lit(1.0))
 
     parts = {f"contribution_{c}": unit(c, d) * share[c] for c, d in objectives.items()}
-    scored = wide.withColumns(parts).withColumn("preference_score", F.round(F.least(sum((F.col(p) for p in parts), F.lit(0.0)), F.lit(1.0)), 6))
+    scored = wide.withColumns(parts).withColumn("preference_score", rounded(F.least(sum((F.col(p) for p in parts), F.lit(0.0)), F.lit(1.0)), 6))
     scores = scored.groupBy("preference_score").agg(F.count(F.lit(1)).alias("_n"))
     ranks = scores.select("preference_score", F.row_number().over(Window.orderBy(F.desc("preference_score"))).alias("preference_rank"))  # at most a million and one scores
     out = scored.join(ranks, "preference_score")
-    return out.select(*candidates.columns, "preference_score", "preference_rank", *[F.round(p, 6).alias(p) for p in parts])
+    return out.select(*candidates.columns, "preference_score", "preference_rank", *[rounded(F.col(p), 6).alias(p) for p in parts])
