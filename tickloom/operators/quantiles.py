@@ -7,23 +7,27 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickloom.session import stored
+
 
 def ranked_counts(df: DataFrame, keys: list[str], value: str, buckets: int = 64) -> DataFrame:
     """Distinct values per group with the 0-based positions [_lo, _hi) they fill and the group size.
 
     ``percentile`` holds a whole group's distinct values in one buffer. Here equal values are
     counted with partial aggregation, mergeable sketches choose cut points, and only one bucket
-    at a time is ordered.
+    at a time is ordered. The rows and the cut points are stored: a sketch depends on the order in which its parts meet,
+    so points computed anew for the offsets and for the values need not be the same.
     """
     one = keys or ["_all"]
     rows = df.where(F.col(value).isNotNull())
     rows = rows.select(*keys, F.col(value).cast("double").alias("_v")) if keys else rows.select(
         F.lit(1).alias("_all"), F.col(value).cast("double").alias("_v")
     )
+    rows = stored(rows, "quantiles")
     counts = rows.groupBy(*one, "_v").agg(F.count(F.lit(1)).alias("_n"))
-    cuts = rows.groupBy(*one).agg(
+    cuts = stored(rows.groupBy(*one).agg(
         F.percentile_approx("_v", [i / buckets for i in range(1, buckets)], 10_000).alias("_cuts")
-    )
+    ), "cuts")
     placed = counts.join(cuts, one).withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))).drop("_cuts")
     per = placed.groupBy(*one, "_b").agg(F.sum("_n").alias("_in"))
     group = Window.partitionBy(*one)
