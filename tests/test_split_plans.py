@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions import factor as f
 from tickloom.functions.factor import col
+from tickloom.operators import cross as X
 from tickloom.operators import series as S
 from tickloom.operators.quantiles import exact_quantiles
 from tickloom.plans.alpha101 import alphas
@@ -62,3 +63,16 @@ def test_layout_is_measured(spark, root):
     panel = bars(spark, root)
     assert Layout.measured(panel, limit=10).split_series and Layout.measured(panel, limit=2).split_dates
     assert not Layout.measured(panel).split_series
+
+
+def test_split_rank_does_not_gather_the_rows_of_a_shared_value(spark):
+    """Ranks stay those of the plain window with a value on most rows, and its rows are joined by broadcast."""
+    t = spark.range(3000).selectExpr("id", "id % 2 AS g", "CASE WHEN id % 5 > 0 THEN 0.0 ELSE id * 37 % 101 END AS x", "CASE WHEN id % 11 > 0 THEN id % 7 END AS y")
+    columns = {"rx": F.col("x"), "ry": F.col("y")}
+    for key in (["g"], []):
+        got = X.split_rank(t, columns, key, ["id"], buckets=8, hot_rows=500)
+        want = t.select("*", *[X.pct_rank(c, *key or [F.lit(1)]).alias(n) for n, c in columns.items()])
+        said = lambda df: [(r.id, *(None if v is None else round(v, 12) for v in (r.rx, r.ry))) for r in df.orderBy("id").collect()]
+        assert said(got) == said(want)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "percentile_approx" not in plan and "BroadcastHashJoin" in plan
