@@ -9,6 +9,7 @@ from tickloom.functions.columns import clean, ratio
 from tickloom.operators.cross import mean_rank, pct_rank
 from tickloom.operators.quantiles import exact_quantiles
 from tickloom.operators.series import number_rows, tie_key
+from tickloom.session import stored
 
 
 def pearson(x: str, y: str) -> Column:
@@ -117,6 +118,7 @@ def top_turnover(panel: DataFrame, quantile: Column, top: int, date: str = "trad
 def capacity(panel: DataFrame, factor: str, amount: str = "amount", share: float = 0.05, q: float = 0.8) -> DataFrame:
     """Mean amount of the rows at or above the factor's global quantile, times a participation share."""
     rows = panel.select(clean(F.col(factor)).alias("x"), clean(F.col(amount)).alias("a")).where("x is not null and a is not null")
+    rows = stored(rows, "capacity")  # read twice, and its panel is the dear part
     cut = exact_quantiles(rows, [], "x", {"cut": q})
     top = F.avg(F.when(F.col("x") >= F.col("cut"), F.col("a")))
     return rows.crossJoin(F.broadcast(cut)).agg(  # the cut is one row
@@ -169,8 +171,12 @@ def correlation_clusters(pairs: DataFrame, factors: list[str], threshold: float
 
 
 def factor_summary(panel: DataFrame, factors: list[str], label: str, amount: str = "amount", q: int = 5, horizon: int = 1) -> DataFrame:
-    """One row per factor: IC, rank IC, ratios, monotonicity, top turnover. Factors are rows, not loops."""
-    long = long_factors(panel.select("symbol", "trade_date", label, *factors), factors, ["symbol", "trade_date", label])
+    """One row per factor: IC, rank IC, ratios, monotonicity, top turnover. Factors are rows, not loops.
+
+    The panel is stored first: each of the statistics would compute it anew.
+    """
+    panel = stored(panel.select("symbol", "trade_date", label, *factors), "summary")
+    long = long_factors(panel, factors, ["symbol", "trade_date", label])
     by = ["factor_name"]
     rank_ic = ic_summary(ic_by_date(long, "factor_value", label, by=by), by, horizon=horizon)
     plain = ic_summary(ic_by_date(long, "factor_value", label, by=by, method="pearson"), by, horizon=horizon)
