@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tickloom.checks.factor_sql import factor_sql
 from tickloom.functions import factor as f
-from tickloom.functions.columns import tidy
 from tickloom.functions.factor import col
 from tickloom.plans.factors import evaluate
 from tickloom.plans.inputs import BARS_SQL, bars, bars_layout
@@ -24,8 +23,7 @@ KEEP = ("close", "amount", "volume")
 
 
 def factor_panel(spark: SparkSession, root: str) -> DataFrame:
-    wide = evaluate(bars(spark, root), PANEL_FACTORS, bars_layout(spark, root), keep=list(KEEP))
-    return wide.withColumns({c: tidy(wide[c]) for c in PANEL_FACTORS})
+    return evaluate(bars(spark, root), PANEL_FACTORS, bars_layout(spark, root), keep=list(KEEP), tidied=True)
 
 
 PANEL_SQL = f"panel AS MATERIALIZED ({factor_sql(BARS_SQL, PANEL_FACTORS, keep=KEEP)})"
