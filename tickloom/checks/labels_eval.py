@@ -17,6 +17,7 @@ from tickloom.operators import stats as ST
 from tickloom.operators.cross import pct_rank
 from tickloom.operators.quantiles import exact_quantiles
 from tickloom.session import cut_lineage
+from tickloom.plans.factors import pinned
 from tickloom.plans.inputs import BARS_SQL, SECTORS_SQL, bars, sectors, tidy_sql
 
 W = "OVER (PARTITION BY symbol ORDER BY trade_date)"
@@ -122,7 +123,7 @@ SELECT symbol, t0, t1, {tidy_sql("coalesce(u, avg(u) OVER (PARTITION BY symbol))
 def label_uniqueness_weights(spark, root):
     w = Window.partitionBy("symbol").orderBy("trade_date")
     b = bars(spark, root).select("symbol", "trade_date")
-    events = b.select("symbol", F.col("trade_date").alias("t0"), F.lead("trade_date", 4).over(w).alias("t1"))
+    events = pinned(b, "symbol").select("symbol", F.col("trade_date").alias("t0"), F.lead("trade_date", 4).over(w).alias("t1"))
     return t(LB.uniqueness_weights(events, b.select("trade_date").distinct(), "t0", "t1"), "uniqueness").select("symbol", "t0", "t1", "uniqueness")
 
 

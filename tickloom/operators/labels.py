@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tickloom.functions.columns import flag, ratio
 from tickloom.operators.cross import pct_rank
+from tickloom.plans.arrays import Runs, codes_of, whole_groups
+from tickloom.plans.factors import pinned
 
 
 def _w():
@@ -139,29 +146,40 @@ def triple_barrier(panel: DataFrame, sigma: str, take: float = 2.0, stop: float
 def uniqueness_weights(events: DataFrame, sessions: DataFrame, start: str, end: str) -> DataFrame:
     """Mean of 1 / concurrency over each event's sessions, per symbol; an unfinished event takes its symbol's mean.
 
-    Concurrency per session is a sweep over event edges; the mean over a span is a difference of
-    two running sums of 1 / concurrency, so no event × day pairs are formed.
+    Concurrency only changes where an event starts or has ended, so a symbol's events are swept over these edges; neither
+    event × day pairs nor a symbol × session grid are formed. The calendar (one row per exchange day) goes to every task,
+    one symbol's events meet in one.
     """
-    s = sessions.select(F.col("trade_date").alias("_d"))
-    keys = events.select("symbol").distinct()
-    # edges: +1 at start, -1 just after end
-    marks = events.where(F.col(end).isNotNull()).select("symbol", F.col(start).alias("_d"), F.lit(1).alias("_v")).unionByName(
-        events.where(F.col(end).isNotNull()).select("symbol", F.date_add(F.col(end), 1).alias("_d"), F.lit(-1).alias("_v"))
-    ).groupBy("symbol", "_d").agg(F.sum("_v").alias("_v"))
-    grid = keys.crossJoin(F.broadcast(s)).withColumn("_s", F.lit(1))  # the calendar is bounded; keys stay distributed
-    w = Window.partitionBy("symbol").orderBy("_d").rowsBetween(Window.unboundedPreceding, 0)
-    line = grid.join(marks, ["symbol", "_d"], "full_outer").withColumn("_open", F.sum(F.coalesce("_v", F.lit(0))).over(w))
-    share = F.when(F.col("_s").isNotNull() & (F.col("_open") > 0), 1.0 / F.col("_open"))
-    line = line.withColumn("_share", share).withColumns({
-        "_sum": F.sum(F.coalesce("_share", F.lit(0.0))).over(w), "_cnt": F.count("_share").over(w)
-    }).where(F.col("_s").isNotNull())
-    a = line.select("symbol", F.col("_d").alias(start), (F.col("_sum") - F.coalesce("_share", F.lit(0.0))).alias("_s0"), (F.col("_cnt") - F.col("_share").isNotNull().cast("int")).alias("_c0"))
-    b = line.select("symbol", F.col("_d").alias(end), F.col("_sum").alias("_s1"), F.col("_cnt").alias("_c1"))
-    known = events.join(a, ["symbol", start], "left").join(b, ["symbol", end], "left").withColumn(
-        "uniqueness", ratio(F.col("_s1") - F.col("_s0"), F.col("_c1") - F.col("_c0"))
-    ).drop("_s0", "_c0", "_s1", "_c1")
-    means = known.groupBy("symbol").agg(F.avg("uniqueness").alias("_mean"))
-    return known.join(means, "symbol").withColumn("uniqueness", F.coalesce("uniqueness", "_mean")).drop("_mean")
+    days = np.sort(np.array([r[0] for r in sessions.select(F.unix_date(F.col("trade_date").cast("date"))).distinct().collect() if r[0] is not None], "float64"))
+    staged = events.withColumns({"_from": F.unix_date(F.col(start).cast("date")), "_to": F.unix_date(F.col(end).cast("date"))})
+    schema = T.StructType([*events.schema.fields, T.StructField("uniqueness", T.DoubleType())])
+    names = events.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, "symbol"):
+            codes = codes_of(table.column("symbol"))
+            first, last = (table.column(c).to_pandas().to_numpy("float64", na_value=np.nan) for c in ("_from", "_to"))
+            value = event_uniqueness(Runs(codes), codes >= 0, np.searchsorted(days, first, "left"), np.searchsorted(days, last, "right"), ~np.isnan(first) & ~np.isnan(last))
+            yield from pa.Table.from_arrays([*[table.column(c) for c in names], pa.array(value, pa.float64(), from_pandas=True)], names=[*names, "uniqueness"]).to_batches()
+
+    return pinned(staged, "symbol").sortWithinPartitions("symbol").mapInArrow(run, schema)
+
+
+def event_uniqueness(runs: Runs, named: np.ndarray, begin: np.ndarray, stop: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Uniqueness of events that cover the sessions ``begin`` to ``stop - 1``, group by group."""
+    out = np.full(runs.size, np.nan)
+    usable = known & named & (stop > begin)
+    for s, e in zip(runs.ends[:-1], runs.ends[1:]):
+        at = s + np.flatnonzero(usable[s:e])
+        if len(at) == 0:
+            continue
+        edges, place = np.unique(np.r_[begin[at], stop[at]], return_inverse=True)
+        i, j = place[: len(at)], place[len(at) :]
+        running = np.cumsum(np.bincount(i, minlength=len(edges)) - np.bincount(j, minlength=len(edges)))[:-1]
+        share = np.r_[0.0, np.cumsum(np.where(running > 0, np.diff(edges) / np.maximum(running, 1), 0.0))]
+        out[at] = (share[j] - share[i]) / (stop[at] - begin[at])
+        out[s:e][np.isnan(out[s:e])] = out[at].mean()
+    return out
 
 
 def meta_label(signal: Column, label: Column, score: Column, threshold: float = 0.5) -> Column:
