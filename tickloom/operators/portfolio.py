@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.columns import count_if, ratio
 from tickloom.operators.series import tie_key
+from tickloom.plans.factors import pinned
 
 
 def target_liveness(weights: DataFrame, predictions: DataFrame, score: str, eps: float = 1e-9) -> DataFrame:
@@ -84,7 +85,12 @@ def high_chase(panel: DataFrame, lookback: int = 5, max_gain: float = 0.30, max_
 def filter_universe(predictions: DataFrame, flags: DataFrame, score: str, min_amount: float, st_keep: float = 0.10) -> DataFrame:
     """First reason each prediction fails; flagged (ST) names survive only in the date's top share by score."""
     f = flags.dropDuplicates(["symbol", "trade_date"])
-    j = predictions.join(f, ["symbol", "trade_date"], "left")
+    return universe_reasons(predictions.join(f, ["symbol", "trade_date"], "left"), score, min_amount, st_keep)
+
+
+def universe_reasons(flagged: DataFrame, score: str, min_amount: float, st_keep: float = 0.10) -> DataFrame:
+    """``filter_universe`` for rows that carry both the score and the flags."""
+    j = pinned(flagged, "trade_date")
     st = F.coalesce("is_st", F.lit(False))
     g = Window.partitionBy("trade_date", st)
     rn = F.row_number().over(g.orderBy(tie_key(F.col(score)).desc(), "symbol"))
