@@ -223,8 +223,8 @@ SELECT kind, value, {tidy_sql('score')} AS score, CASE WHEN score >= 0 THEN np E
 def capital_flow_thesis(spark, root):
     e = table(spark, root, "documents").select(
         F.lit("source").alias("kind"), F.col("source").alias("value"), F.when(F.col("doc_id") % 3 == 0, -1).otherwise(1).alias("direction"), (0.5 + (F.col("doc_id") % 4) / 4.0).alias("prior"),
-        ((F.col("n_chars") % 100) / 100.0).alias("strength"), ((F.col("doc_id") % 10) / 10.0).alias("confidence"))
-    return t(EV.thesis(e), "score", "contradiction", "confidence")
+        ((F.col("n_chars") % 100) / 100.0).alias("strength"), ((F.col("doc_id") % 10) / 10.0).alias("confidence"), "doc_id")
+    return t(EV.thesis(e, order="doc_id"), "score", "contradiction", "confidence")
 
 
 @query("canonical_urls", """WITH p AS (SELECT page_id, url, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1) AS s, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1) AS h, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(url, '\\?([^#]*)', 1) AS q FROM pages),
