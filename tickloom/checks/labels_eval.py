@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tickloom.checks.panels import PANEL_SQL, factor_panel, rk
 from tickloom.checks.normal_sql import normal_sql
 from tickloom.checks.registry import query
-from tickloom.functions.columns import rounded, tidy
+from tickloom.functions.columns import rounded, rounded_mean, tidy
 from tickloom.operators import evaluate as E
 from tickloom.operators import frontier as FR
 from tickloom.operators import labels as LB
@@ -441,7 +441,7 @@ OBJ_SQL = PANEL_SQL + ", c AS (SELECT symbol, round(avg(ret), 4) AS gain, round(
 
 def objective_table(spark, root):
     return factor_panel(spark, root).groupBy("symbol").agg(
-        rounded(F.avg("ret"), 4).alias("gain"), rounded(F.stddev_samp("ret"), 3).alias("risk"), F.round(F.avg("volume") / 10, 0).alias("size"), F.count("ret").alias("seen"))
+        rounded_mean(F.col("ret"), 4).alias("gain"), rounded(F.stddev_samp("ret"), 3).alias("risk"), F.round(F.avg("volume") / 10, 0).alias("size"), F.count("ret").alias("seen"))
 
 
 @query("pareto_three_objectives", f"""WITH {OBJ_SQL}
