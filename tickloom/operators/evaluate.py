@@ -2,14 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tickloom.functions.columns import clean, ratio
 from tickloom.operators.cross import mean_rank, pct_rank
 from tickloom.operators.quantiles import exact_quantiles
 from tickloom.operators.series import number_rows, tie_key
+from tickloom.plans.arrays import BATCH_ROWS, codes_of, pack_task
+from tickloom.plans.arrays import tie_key as tie_values
+from tickloom.plans.blocks import PORTIONS, portions_read
+from tickloom.plans.blocks import SCHEMA as BLOCKS
 from tickloom.session import stored
+from tickloom.sizes import GROUP_ROWS, largest_group
 
 
 def pearson(x: str, y: str) -> Column:
@@ -170,18 +181,99 @@ def correlation_clusters(pairs: DataFrame, factors: list[str], threshold: float
     )
 
 
+def folded_days(panel: DataFrame, factors: list[str], label: str, q: int) -> DataFrame:
+    """Whole dates folded once for all factors: (factor_name, trade_date, kind, quantile, value, ranked, symbol).
+
+    ``ic`` rows hold the plain and the rank correlation, ``cell`` rows a quantile's mean label, ``top`` rows the symbols
+    of the highest quantile. The panel moves once, in packed columns; as long rows it moved and was sorted once a statistic.
+    """
+    n = int(panel.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    portions = n * max(1, -(-PORTIONS // n))
+    wide = panel.select("symbol", "trade_date", *[F.col(c).cast("double").alias(c) for c in dict.fromkeys([label, *factors])])
+    dealt = wide.mapInArrow(pack_task("trade_date", portions), BLOCKS).repartitionById(n, F.col("_portion") % n).sortWithinPartitions("_portion")
+    schema = f"factor_name string, trade_date {wide.schema['trade_date'].dataType.simpleString()}, kind string, quantile int, value double, ranked double, symbol {wide.schema['symbol'].dataType.simpleString()}"
+    return dealt.mapInArrow(_day_statistics(to_arrow_schema(wide.schema), factors, label, q), schema)
+
+
+def _finite(x: np.ndarray) -> np.ndarray:
+    return np.where(np.isinf(x), np.nan, x)
+
+
+def _correlation(x: np.ndarray, y: np.ndarray) -> float:
+    if len(x) < 3 or x.min() == x.max() or y.min() == y.max():
+        return np.nan
+    dx, dy = x - x.mean(), y - y.mean()
+    spread = np.sqrt((dx * dx).mean()) * np.sqrt((dy * dy).mean())
+    return float((dx * dy).mean() / spread) if spread else np.nan
+
+
+def _average_ranks(x: np.ndarray) -> np.ndarray:
+    return pd.Series(tie_values(x)).rank().to_numpy()
+
+
+def _day_quantiles(x: np.ndarray, q: int) -> np.ndarray:
+    """``quantile_labels`` of one date whose rows are sorted by symbol; 0 where there is none. NaN is unknown."""
+    key = tie_values(x)
+    at = np.argsort(key, kind="stable")[: int(np.count_nonzero(~np.isnan(x)))]
+    out = np.zeros(len(x), "int32")
+    if len(at) >= q and key[at[0]] < key[at[-1]]:
+        out[at] = np.clip(np.ceil(np.arange(1, len(at) + 1) * q / len(at)), 1, q)
+    return out
+
+
+def _day_statistics(schema: pa.Schema, factors: list[str], label: str, q: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in portions_read(batches, schema, ["trade_date", "symbol"], BATCH_ROWS):
+            codes = codes_of(table.column("trade_date"))
+            first = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
+            numbers = {c: table.column(c).to_pandas().to_numpy(dtype="float64", na_value=np.nan) for c in dict.fromkeys([label, *factors])}
+            days, symbols = table.column("trade_date"), table.column("symbol")
+            for name in factors:
+                where, kinds, cells, values, ranked, holders = [], [], [], [], [], []
+                for a, b in zip(first, np.r_[first[1:], len(codes)]):
+                    x, y = numbers[name][a:b], numbers[label][a:b]
+                    pairs = ~np.isnan(_finite(x)) & ~np.isnan(_finite(y))
+                    tags = _day_quantiles(x, q)
+                    with np.errstate(all="ignore"):
+                        ics = _correlation(x[pairs], y[pairs]), _correlation(_average_ranks(x[pairs]), _average_ranks(y[pairs]))
+                    known = (tags > 0) & ~np.isnan(y)
+                    sums, counts = np.bincount(tags[known], y[known], q + 1), np.bincount(tags[known], minlength=q + 1)
+                    held = np.flatnonzero(np.bincount(tags, minlength=q + 1)[1:]) + 1
+                    top = np.flatnonzero(tags == q)
+                    where += [a] * (1 + len(held)) + (a + top).tolist()
+                    kinds += ["ic"] + ["cell"] * len(held) + ["top"] * len(top)
+                    cells += [None, *held.tolist()] + [q] * len(top)
+                    values += [ics[0], *(sums[k] / counts[k] if counts[k] else np.nan for k in held)] + [np.nan] * len(top)
+                    ranked += [ics[1]] + [np.nan] * (len(held) + len(top))
+                    holders += [None] * (1 + len(held)) + (a + top).tolist()
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([name] * len(where), pa.string()), pa.concat_arrays(days.take(pa.array(where, pa.int64())).chunks), pa.array(kinds, pa.string()), pa.array(cells, pa.int32()),
+                    pa.array(np.array(values, "float64"), from_pandas=True), pa.array(np.array(ranked, "float64"), from_pandas=True), pa.concat_arrays(symbols.take(pa.array(holders, pa.int64())).chunks),
+                ], names=["factor_name", "trade_date", "kind", "quantile", "value", "ranked", "symbol"])
+
+    return run
+
+
 def factor_summary(panel: DataFrame, factors: list[str], label: str, amount: str = "amount", q: int = 5, horizon: int = 1) -> DataFrame:
     """One row per factor: IC, rank IC, ratios, monotonicity, top turnover. Factors are rows, not loops.
 
-    The panel is stored first: each of the statistics would compute it anew.
+    Dates of at most ``GROUP_ROWS`` rows are folded in one pass, and what comes of it is stored: each of the statistics
+    would compute it anew. Of wider ones the panel is stored, and moves once a statistic.
     """
-    panel = stored(panel.select("symbol", "trade_date", label, *factors), "summary")
-    long = long_factors(panel, factors, ["symbol", "trade_date", label])
     by = ["factor_name"]
-    rank_ic = ic_summary(ic_by_date(long, "factor_value", label, by=by), by, horizon=horizon)
-    plain = ic_summary(ic_by_date(long, "factor_value", label, by=by, method="pearson"), by, horizon=horizon)
-    tagged = long.withColumn("quantile", quantile_labels(F.col("factor_value"), q, "factor_name", "trade_date"))
-    cells = tagged.where("quantile is not null").groupBy("factor_name", "trade_date", "quantile").agg(F.avg(label).alias("r"))
+    panel = stored(panel.select("symbol", "trade_date", label, *factors), "summary")
+    if largest_group(panel, "trade_date") <= GROUP_ROWS:
+        days = stored(folded_days(panel, factors, label, q), "days")
+        ics = days.where("kind = 'ic'")
+        plain, ranks = ics.select(*by, "trade_date", F.col("value").alias("ic")), ics.select(*by, "trade_date", F.col("ranked").alias("ic"))
+        cells = days.where("kind = 'cell'").select(*by, "trade_date", "quantile", F.col("value").alias("r"))
+        tagged = days.where("kind <> 'cell'").select(*by, "trade_date", "symbol", "quantile")
+    else:
+        long = long_factors(panel, factors, ["symbol", "trade_date", label])
+        plain, ranks = (ic_by_date(long, "factor_value", label, by=by, method=m) for m in ("pearson", "spearman"))
+        tagged = long.withColumn("quantile", quantile_labels(F.col("factor_value"), q, "factor_name", "trade_date"))
+        cells = tagged.where("quantile is not null").groupBy("factor_name", "trade_date", "quantile").agg(F.avg(label).alias("r"))
+    rank_ic, plain = ic_summary(ranks, by, horizon=horizon), ic_summary(plain, by, horizon=horizon)
     mono = monotonicity(cells, by, "quantile", "r")
     turn = grouped_turnover(tagged, q).groupBy("factor_name").agg(F.avg("turnover").alias("turnover"))
     return (
