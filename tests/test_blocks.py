@@ -5,6 +5,7 @@ import pyarrow as pa
 
 from tickloom.functions import factor as f
 from tickloom.functions.factor import col, walk
+from tickloom.plans import arrays as A
 from tickloom.plans import blocks as B
 from tickloom.plans.factors import _carried, evaluate
 
@@ -35,6 +36,22 @@ def test_values_come_back_to_the_last_bit():
             assert a.equals(b), name
 
 
+def test_ranks_stand_as_whole_numbers_beside_their_count():
+    rng, dates, wide = np.random.default_rng(2), 30, 701
+    x, y = (np.where(rng.random(dates * wide) < share, np.nan, rng.integers(0, top, dates * wide)) for share, top in ((0.1, 300), (0.2, 10**6)))
+    day = np.repeat(np.arange(dates), wide)
+    rank = lambda v: pa.array(np.concatenate([A.ranked(v[day == d], A.Runs(np.zeros(wide, int))) for d in range(dates)]), from_pandas=True)
+    odd = pa.array(np.where(rng.random(dates * wide) < 0.1, np.nan, rng.random(dates * wide)), from_pandas=True)  # no rank: plain bits
+    table = pa.table({"symbol": np.tile(np.arange(wide), dates), "day": day, "x": rank(x), "again": rank(x * 2), "y": rank(y), "full": rank(rng.random(dates * wide)), "odd": odd})
+    size = {}
+    for shares in ((), ("x", "again", "y", "full", "odd")):
+        batches = list(B.packed(iter([table]), "symbol", 5, shares=shares, within="day"))
+        got = pa.concat_tables(B.portions_read(iter(batches), table.schema, ["symbol", "day"], 1)).sort_by([("day", "ascending"), ("symbol", "ascending")])
+        assert got.equals(table.select(got.column_names).combine_chunks())
+        size[shares] = sum(b.nbytes for b in batches)
+    assert min(size.values()) == list(size.values())[1] < 0.7 * list(size.values())[0]
+
+
 def test_text_keys_meet_whatever_the_task():
     one, two = pa.chunked_array([["a", "b", None]]), pa.chunked_array([[None, "c"], ["b", "a"]])
     p, q = B.portions_of(one, 64).tolist(), B.portions_of(two, 64).tolist()
